@@ -13,8 +13,21 @@ def p7_ids(spark, d):
     return bpe.encode_texts(table(spark, d, "documents"), "doc_id", "text", bpe.ranks_of())
 
 
+def p9_found(spark, d):
+    from thicketry.llm import quality
+
+    return quality.not_prose(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_statistics(spark, d):
+    from thicketry.llm import quality
+
+    out = quality.text_quality(table(spark, d, "documents"), "doc_id", "text")
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes))
+
+
 def queries():
-    return {"p7_ids": p7_ids}
+    return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
 
 def oracle_sql():
