@@ -26,6 +26,16 @@ def p9_statistics(spark, d):
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes))
 
 
+def p8_spans(spark, d):
+    from thicketry.llm import leakage
+
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
+
+
+def p8_found(spark, d):
+    return p8_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
 def queries():
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
