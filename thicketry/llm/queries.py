@@ -36,6 +36,19 @@ def p8_found(spark, d):
     return p8_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
+def _compatible(spark, d):
+    """The prototypes that p3 compares: valid, of a bank that is known to be compatible."""
+    banks = table(spark, d, "memory_banks").where("ok").select("bank_id").distinct()
+    return table(spark, d, "prototypes").where("is_valid").join(banks, "bank_id", "left_semi")
+
+
+def p3_found(spark, d):
+    from thicketry.llm import neighbours
+
+    n = neighbours.nearest_vectors(_compatible(spark, d), "sample_key", "proto", 128, k=5, min_similarity=0.9)
+    return n.select(F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
+
+
 def queries():
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
