@@ -49,6 +49,24 @@ def p3_found(spark, d):
     return n.select(F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
 
 
+def _clusters(spark, d):
+    from thicketry.llm import grouping
+
+    return grouping.similarity_clusters(table(spark, d, "kmeans_result"), "sample_key", "normalized_features", 64)
+
+
+def p6_found(spark, d):
+    from thicketry.llm import grouping
+
+    return grouping.cluster_members(_clusters(spark, d)).select(F.col("key").alias("sample_key"), "cluster_key")
+
+
+def p6_clusters(spark, d):
+    from thicketry.llm import grouping
+
+    return grouping.describe_clusters(_clusters(spark, d), 64)
+
+
 def queries():
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
