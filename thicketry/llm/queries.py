@@ -67,6 +67,32 @@ def p6_clusters(spark, d):
     return grouping.describe_clusters(_clusters(spark, d), 64)
 
 
+def _mix(spark, d):
+    from thicketry.llm import catalog, mixing
+
+    roles = table(spark, d, "subset_roles")
+    rows = catalog.with_subset(table(spark, d, "image_catalog").select("pool_id", "sample_key", "subset", "path"), roles)
+    ident = F.coalesce(F.col("sample_key"), F.concat(F.lit("\u0000"), "subset_name", F.lit("/"), catalog.file_name(F.col("path"))))
+    records = rows.select(F.col("pool_id").alias("pool"), F.col("subset_name").alias("category"), ident.alias("id"))
+    names = roles.select(F.col("subset").alias("category"), catalog.loose(F.col("subset")).alias("_loose")).dropDuplicates(["_loose"])
+    mix = table(spark, d, "target_mix").withColumn("_loose", catalog.loose(F.col("subset"))).join(names, "_loose")
+    mix = mix.select(F.col("pool_id").alias("pool"), "category", F.col("target_share").alias("share"), "budget", F.col("min_keep").alias("floor"))
+    return mixing.sample_to_mix(records, mix)
+
+
+def p1_found(spark, d):
+    report = _mix(spark, d)[1]
+    return report.where("unmet").select(F.col("pool").alias("pool_id"), F.col("category").alias("subset"))
+
+
+def p1_report(spark, d):
+    return _mix(spark, d)[1]
+
+
+def p1_sample(spark, d):
+    return _mix(spark, d)[0]
+
+
 def queries():
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
