@@ -93,6 +93,58 @@ def p1_sample(spark, d):
     return _mix(spark, d)[0]
 
 
+def _overlaps(spark, d):
+    from thicketry.llm import catalog, overlap
+
+    rows = catalog.with_subset(table(spark, d, "image_catalog").select("item_id", "sample_key", "subset", "path"), table(spark, d, "subset_roles"))
+    ending = r"(?i)\.(jpe?g|png|tiff?|bmp|webp|gif|heic)$"
+    stem = F.regexp_replace(catalog.file_name(F.col("sample_key")), ending, "")
+    file = F.regexp_replace(catalog.file_name(F.col("path")), ending, "")
+    names = F.array_distinct(F.array_compact(F.array(stem, file)))
+    rows = rows.where("role in ('train', 'val', 'test')")
+    return overlap.cross_split_overlaps(rows.select(F.col("item_id").alias("item"), (F.col("role") != "train").alias("evaluation"), F.explode(names).alias("name")))
+
+
+def p2_found(spark, d):
+    return _overlaps(spark, d).select(F.least("item_train", "item_eval").alias("item_a"), F.greatest("item_train", "item_eval").alias("item_b"))
+
+
+def p2_counts(spark, d):
+    """Overlapping pairs by the subset and the source of the evaluation row."""
+    from thicketry.llm import catalog
+
+    rows = catalog.with_subset(table(spark, d, "image_catalog").select("item_id", "sample_key", "subset", "path", "source"), table(spark, d, "subset_roles"))
+    found = _overlaps(spark, d).groupBy(F.col("item_eval").alias("item_id")).agg(F.count(F.lit(1)).alias("pairs"))
+    return found.join(rows, "item_id").groupBy(F.col("subset_name").alias("subset"), "role", "source").agg(F.sum("pairs").alias("pairs"), F.count(F.lit(1)).alias("rows"))
+
+
+def p4_found(spark, d):
+    from thicketry.llm import stable
+
+    lists = stable.with_canonical(table(spark, d, "split_rows").select("run_id", "parent_run_id", "split_level", "sample_key").distinct(), "sample_key")
+    lost = stable.lost_members(lists.select(F.col("run_id").alias("run"), F.col("parent_run_id").alias("parent"), F.col("split_level").alias("level"), "key"))
+    # as image_catalog writes them: of several writings the canonical one, else the smallest
+    keys = table(spark, d, "image_catalog").where("sample_key is not null").select("sample_key").distinct()
+    written = stable.with_canonical(keys, "sample_key").join(lost.select("key").distinct(), "key", "left_semi")
+    written = written.groupBy("key").agg(F.min(F.struct(F.col("sample_key") != F.col("key"), "sample_key")).alias("w"))
+    return lost.join(written, "key", "left").select(F.col("run").cast("bigint").alias("run_id"), F.col("level").cast("int").alias("split_level"), F.coalesce("w.sample_key", "key").alias("sample_key"))
+
+
+#: Fixed rates of p4_sample by the role of a subset.
+RATES = {"train": 0.05, "val": 0.1, "test": 0.1}
+
+
+def p4_sample(spark, d):
+    from thicketry.llm import catalog, stable
+
+    roles = table(spark, d, "subset_roles")
+    rows = catalog.with_subset(table(spark, d, "image_catalog").select("sample_key", "subset", "path"), roles)
+    rate = F.coalesce(*(F.when(F.col("split_role") == r, F.lit(x)) for r, x in RATES.items()))
+    rates = roles.select(F.col("subset").alias("stratum"), rate.alias("rate"))
+    sample, _ = stable.stable_sample(rows.select(F.col("sample_key").alias("key"), F.col("subset_name").alias("stratum")), rates)
+    return sample.select(F.col("key").alias("sample_key"), F.col("stratum").alias("subset"))
+
+
 def queries():
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
