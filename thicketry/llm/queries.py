@@ -145,6 +145,17 @@ def p4_sample(spark, d):
     return sample.select(F.col("key").alias("sample_key"), F.col("stratum").alias("subset"))
 
 
+def p5_varied(spark, d):
+    """500 records of kmeans_result, spread over the subsets of image_catalog."""
+    from thicketry.llm import catalog, variety
+
+    rows = table(spark, d, "image_catalog").where("sample_key is not null").select("sample_key", "subset", "path")
+    rows = catalog.with_subset(rows, table(spark, d, "subset_roles")).groupBy("sample_key").agg(F.min("subset_name").alias("subset"))
+    vecs = table(spark, d, "kmeans_result").where("sample_key is not null").select("sample_key", "normalized_features").join(rows, "sample_key", "left")
+    out = variety.varied_subset(vecs, "sample_key", "subset", "normalized_features", 64, budget=500)
+    return out.select(F.col("key").alias("sample_key"), F.col("stratum").alias("subset"), "selection_order", "group_size")
+
+
 def queries():
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
