@@ -18,6 +18,11 @@ def total(a: Column | str) -> Column:
     return F.aggregate(col(a), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(a: Column | str, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once: lambdas would compute an expression at every use."""
+    return F.transform(F.array(col(a)), f)[0]
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return total(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y))
 
@@ -33,9 +38,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def l2_normalize(a: Column | str, zero: str = "zero") -> Column:
     """Unit vector; a zero vector stays zero, or raises with ``zero='error'``."""
-    n = norm(a)
     bad = F.transform(col(a), lambda x: F.lit(0.0)) if zero == "zero" else F.raise_error(F.lit("vector of length zero"))
-    return F.when(n > 0, F.transform(col(a), lambda x: x.cast("double") / n)).otherwise(bad)
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(col(a), lambda x: x.cast("double") / n)).otherwise(bad))
 
 
 def finite_or_zero(x: Column | str) -> Column:
@@ -51,8 +55,8 @@ def unit_interval(x: Column | str) -> Column:
 def normalize_probabilities(a: Column | str, eps: float = EPS) -> Column:
     """Non-negative parts over their sum; all zero stays zero."""
     pos = F.transform(col(a), lambda x: F.greatest(F.lit(0.0), finite_or_zero(x)))
-    s = total(pos)
-    return F.when(s > eps, F.transform(pos, lambda x: x / s)).otherwise(F.transform(pos, lambda x: F.lit(0.0)))
+    share = lambda p, s: F.when(s > eps, F.transform(p, lambda x: x / s)).otherwise(F.transform(p, lambda x: F.lit(0.0)))
+    return let(pos, lambda p: let(total(p), lambda s: share(p, s)))
 
 
 def entropy(p: Column | str, eps: float = EPS) -> Column:
@@ -72,11 +76,8 @@ def js_divergence(p: Column | str, q: Column | str, eps: float = EPS) -> Column:
 
 def softmax(a: Column | str, temperature: float = 1.0) -> Column:
     """Of an array of numbers; an empty array stays empty."""
-    a = col(a)
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp((x - top) / temperature))
-    s = total(e)
-    return F.transform(e, lambda x: x / s)
+    e = lambda a, top: F.transform(a, lambda x: F.exp((x - top) / temperature))
+    return let(col(a), lambda v: let(e(v, F.array_max(v)), lambda w: let(total(w), lambda s: F.transform(w, lambda x: x / s))))
 
 
 def one_hot(index: Column | str, size: int) -> Column:
@@ -100,19 +101,21 @@ def mixture(base: Column, branches: list[Column], weights: Column) -> Column:
 
 def grid_map(a: Column | str, h: int, w: int, f: Callable[[Callable[[int, int], Column], Column, Column], Column]) -> Column:
     """New value of every cell from ``at(dy, dx)``, its replicated neighbours, and its row and column."""
-    a = col(a)
 
-    def cell(i: Column) -> Column:
-        y, x = F.floor(i / w).cast("int"), F.pmod(i, F.lit(w))
+    def cells(v: Column) -> Column:
+        def cell(i: Column) -> Column:
+            y, x = F.floor(i / w).cast("int"), F.pmod(i, F.lit(w))
 
-        def at(dy: int, dx: int) -> Column:
-            yy = F.greatest(F.lit(0), F.least(F.lit(h - 1), y + dy))
-            xx = F.greatest(F.lit(0), F.least(F.lit(w - 1), x + dx))
-            return F.element_at(a, (yy * w + xx + 1).cast("int")).cast("double")
+            def at(dy: int, dx: int) -> Column:
+                yy = F.greatest(F.lit(0), F.least(F.lit(h - 1), y + dy)) if dy else y
+                xx = F.greatest(F.lit(0), F.least(F.lit(w - 1), x + dx)) if dx else x
+                return F.get(v, (yy * w + xx).cast("int")).cast("double")
 
-        return f(at, y, x)
+            return f(at, y, x)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), cell)
+        return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), cell)
+
+    return let(a, cells)
 
 
 def sobel(a: Column | str, h: int, w: int, scale: float = 1 / 8, clear_border: bool = False) -> Column:
@@ -121,7 +124,7 @@ def sobel(a: Column | str, h: int, w: int, scale: float = 1 / 8, clear_border: b
     def f(at, y, x):
         gx = (at(-1, 1) + 2 * at(0, 1) + at(1, 1) - at(-1, -1) - 2 * at(0, -1) - at(1, -1)) * scale
         gy = (at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1)) * scale
-        g = F.sqrt(gx * gx + gy * gy)
+        g = F.hypot(gx, gy)
         return F.when((y == 0) | (x == 0) | (y == h - 1) | (x == w - 1), 0.0).otherwise(g) if clear_border else g
 
     return grid_map(a, h, w, f)
@@ -142,44 +145,45 @@ def erode(a: Column | str, h: int, w: int, r: int = 1) -> Column:
 
 def box_average(a: Column | str, h: int, w: int, r: int) -> Column:
     """Mean over a (2r + 1) squared box with zeros outside; the divisor is fixed."""
-    a = col(a)
     k = float((2 * r + 1) ** 2)
 
-    def cell(i: Column) -> Column:
-        y, x = F.floor(i / w).cast("int"), F.pmod(i, F.lit(w))
-        rows = F.sequence(F.greatest(F.lit(0), y - r), F.least(F.lit(h - 1), y + r))
-        x0, x1 = F.greatest(F.lit(0), x - r), F.least(F.lit(w - 1), x + r)
-        return F.aggregate(rows, F.lit(0.0), lambda s, yy: s + F.aggregate(F.slice(a, (yy * w + x0 + 1).cast("int"), (x1 - x0 + 1).cast("int")), F.lit(0.0), lambda t, v: t + v)) / k
+    def cells(v: Column) -> Column:
+        def cell(i: Column) -> Column:
+            y, x = F.floor(i / w).cast("int"), F.pmod(i, F.lit(w))
+            rows = F.sequence(F.greatest(F.lit(0), y - r), F.least(F.lit(h - 1), y + r))
+            x0, x1 = F.greatest(F.lit(0), x - r), F.least(F.lit(w - 1), x + r)
+            part = lambda yy: F.slice(v, (yy * w + x0 + 1).cast("int"), (x1 - x0 + 1).cast("int"))
+            return F.aggregate(rows, F.lit(0.0), lambda s, yy: s + F.aggregate(part(yy), F.lit(0.0), lambda t, z: t + z)) / k
+
+        return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), cell)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), cell)
+    return let(a, cells)
 
 
 def flip_rows(a: Column | str, h: int, w: int) -> Column:
     """Each row of the grid reversed: the second view, aligned again."""
-    a = col(a)
-    return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.element_at(a, (F.floor(i / w) * w + (w - 1 - F.pmod(i, F.lit(w))) + 1).cast("int")))
+    there = lambda i: (F.floor(i / w) * w + (w - 1 - F.pmod(i, F.lit(w)))).cast("int")
+    return let(a, lambda v: F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.get(v, there(i))))
 
 
 def resize_nearest(a: Column | str, h: int, w: int, to_h: int, to_w: int) -> Column:
-    a = col(a)
 
-    def cell(i: Column) -> Column:
+    def cell(v: Column, i: Column) -> Column:
         y, x = F.floor(i / to_w), F.pmod(i, F.lit(to_w))
-        return F.element_at(a, (F.floor(y * h / to_h) * w + F.floor(x * w / to_w) + 1).cast("int"))
+        return F.get(v, (F.floor(y * h / to_h) * w + F.floor(x * w / to_w)).cast("int"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(to_h * to_w - 1)), cell)
+    return let(a, lambda v: F.transform(F.sequence(F.lit(0), F.lit(to_h * to_w - 1)), lambda i: cell(v, i)))
 
 
 def resize_area(a: Column | str, h: int, w: int, fy: int, fx: int) -> Column:
     """Mean over blocks of fy x fx cells; h and w must be multiples."""
-    a = col(a)
     ww = w // fx
 
-    def cell(i: Column) -> Column:
+    def cell(a: Column, i: Column) -> Column:
         y, x = F.floor(i / ww).cast("int"), F.pmod(i, F.lit(ww))
         return F.aggregate(F.sequence(F.lit(0), F.lit(fy - 1)), F.lit(0.0), lambda s, r: s + F.aggregate(F.slice(a, ((y * fy + r) * w + x * fx + 1).cast("int"), F.lit(fx)), F.lit(0.0), lambda t, v: t + v)) / (fy * fx)
 
-    return F.transform(F.sequence(F.lit(0), F.lit((h // fy) * ww - 1)), cell)
+    return let(a, lambda v: F.transform(F.sequence(F.lit(0), F.lit((h // fy) * ww - 1)), lambda i: cell(v, i)))
 
 
 def scale_index(i: Column | str, h: int, w: int, to_h: int, to_w: int) -> Column:

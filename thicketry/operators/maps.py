@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 from thicketry.functions import vectors as V
 
 
-def boundary_scores(p: Column | str, view: Column | str, h: int, w: int, scale: float = 1 / 8, clear_border: bool = False, add_eps: bool = False) -> tuple[Column, Column, Column]:
-    """(boundary disagreement, global disagreement, boundary mass) of a map and its second view.
+def boundary_scores(p: Column | str, view: Column | str, h: int, w: int, scale: float = 1 / 8, clear_border: bool = False, add_eps: bool = False) -> Column:
+    """A struct (boundary, whole, mass): disagreement at the boundary and over all, and the boundary mass.
 
     The boundary weight is the gradient of the mean view; the denominator is the mass, at least
     eps, or the mass plus eps with ``add_eps``.
     """
-    a, b = (F.transform(V.col(x), V.unit_interval) for x in (p, view))
-    g = V.sobel(V.mean_of(a, b), h, w, scale, clear_border)
-    d = F.zip_with(a, b, lambda x, y: F.abs(x - y))
-    mass = V.total(g)
-    low = mass + V.EPS if add_eps else F.greatest(mass, F.lit(V.EPS))
-    return V.total(F.zip_with(g, d, lambda x, y: x * y)) / low, V.total(d) / (h * w), mass
+
+    def scored(a: Column, b: Column, g: Column) -> Column:
+        d = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+        mass = V.total(g)
+        low = mass + V.EPS if add_eps else F.greatest(mass, F.lit(V.EPS))
+        at_edge = V.total(F.zip_with(g, d, lambda x, y: x * y))
+        return F.struct((at_edge / low).alias("boundary"), (V.total(d) / (h * w)).alias("whole"), mass.alias("mass"))
+
+    clean = lambda x: F.transform(V.col(x), V.unit_interval)
+    return V.let(clean(p), lambda a: V.let(clean(view), lambda b: V.let(V.sobel(V.mean_of(a, b), h, w, scale, clear_border), lambda g: scored(a, b, g))))
 
 
 def weighted_prototype(points: DataFrame, key: str, vector: str, weight: str) -> DataFrame:
@@ -35,10 +39,12 @@ def weighted_prototype(points: DataFrame, key: str, vector: str, weight: str) ->
 
 def regions(mask: Column | str, h: int, w: int, r: int = 1) -> Column:
     """Exclusive regions of a 0/1 mask: 0 inner foreground, 1 outer background, 2 foreground edge, 3 background edge."""
-    m = F.transform(V.col(mask), lambda x: (x > 0).cast("double"))
-    grown, shrunk = V.dilate(m, h, w, r), V.erode(m, h, w, r)
-    inner = F.zip_with(m, shrunk, lambda a, s: F.when(a > 0, F.when(s > 0, 0).otherwise(2)).otherwise(9))
-    return F.zip_with(inner, grown, lambda a, g: F.when(a < 9, a).when(g > 0, 3).otherwise(1))
+
+    def label(m: Column) -> Column:
+        inner = F.zip_with(m, V.erode(m, h, w, r), lambda a, s: F.when(a > 0, F.when(s > 0, 0).otherwise(2)).otherwise(9))
+        return F.zip_with(inner, V.dilate(m, h, w, r), lambda a, g: F.when(a < 9, a).when(g > 0, 3).otherwise(1))
+
+    return V.let(F.transform(V.col(mask), lambda x: (x > 0).cast("double")), label)
 
 
 def geometry(p: Column | str, h: int, w: int) -> dict[str, Column]:
@@ -117,16 +123,16 @@ def total_variation(a: Column | str, h: int, w: int) -> Column:
 
 def structure_loss(p: Column | str, g: Column | str, h: int, w: int, r: int = 15) -> Column:
     """Cross-entropy and 1 - IoU, weighted by 1 + 5 |box average of the target - target|."""
-    gg = F.transform(V.col(g), lambda x: x.cast("double"))
-    weight = F.zip_with(V.box_average(gg, h, w, r), gg, lambda m, t: 1 + 5 * F.abs(m - t))
-    pp = F.transform(V.col(p), lambda x: F.greatest(F.lit(V.EPS), F.least(F.lit(1 - V.EPS), x.cast("double"))))
-    bce = F.zip_with(pp, gg, lambda q, t: -(t * F.log(q) + (1 - t) * F.log(1 - q)))
-    wb = V.total(F.zip_with(weight, bce, lambda a, b: a * b)) / V.total(weight)
-    both = F.zip_with(pp, gg, lambda q, t: q * t)
-    either = F.zip_with(pp, gg, lambda q, t: q + t)
-    inter = V.total(F.zip_with(weight, both, lambda a, b: a * b))
-    union = V.total(F.zip_with(weight, either, lambda a, b: a * b))
-    return wb + 1 - (inter + 1) / (union - inter + 1)
+
+    def loss(pp: Column, gg: Column, weight: Column) -> Column:
+        bce = F.zip_with(pp, gg, lambda q, t: -(t * F.log(q) + (1 - t) * F.log(1 - q)))
+        inter = V.total(F.zip_with(weight, F.zip_with(pp, gg, lambda q, t: q * t), lambda a, b: a * b))
+        union = V.total(F.zip_with(weight, F.zip_with(pp, gg, lambda q, t: q + t), lambda a, b: a * b))
+        return V.total(F.zip_with(weight, bce, lambda a, b: a * b)) / V.total(weight) + 1 - (inter + 1) / (union - inter + 1)
+
+    clean = F.transform(V.col(p), lambda x: F.greatest(F.lit(V.EPS), F.least(F.lit(1 - V.EPS), x.cast("double"))))
+    weighted = lambda t: F.zip_with(V.box_average(t, h, w, r), t, lambda m, x: 1 + 5 * F.abs(m - x))
+    return V.let(clean, lambda q: V.let(F.transform(V.col(g), lambda x: x.cast("double")), lambda t: V.let(weighted(t), lambda k: loss(q, t, k))))
 
 
 def lead_difference(pixels: DataFrame, image: str, y: str, x: str, value: str) -> DataFrame:

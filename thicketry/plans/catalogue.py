@@ -1,14 +1,37 @@
-"""The queries by name, with the same computation in SQL where SQL can say it."""
+"""The queries by name, and the same computation in SQL where SQL can say it.
+
+A query is registered by ``@query(name, sql)``; the modules of this folder hold them by subject.
+"""
 
 from __future__ import annotations
 
+from importlib import import_module
 
-def queries():
-    from thicketry.operators import clusters
-    from thicketry.session import table
+SUBJECTS = ("catalog", "vectors", "selection", "retrieval", "maps", "measures")
+_QUERIES: dict = {}
+_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
 
-    return {"nearest_to_centroid": lambda s, d: clusters.nearest_to_centroid(table(s, d, "embeddings"), "vec_id", "label", "embedding")}
+
+def _load():
+    for s in SUBJECTS:
+        import_module(f"thicketry.plans.{s}")
+
+
+def queries():
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    _load()
+    return dict(_SQL)
