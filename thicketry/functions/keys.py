@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thicketry.functions.vectors import col
 
@@ -64,7 +65,7 @@ def tidy_key(key: Column | str) -> Column:
     return F.nullif(F.array_join(parts, "/"), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s):  # pragma: no cover - runs in workers
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 

@@ -122,8 +122,9 @@ def sobel(a: Column | str, h: int, w: int, scale: float = 1 / 8, clear_border: b
     """Gradient magnitude by the 3 x 3 Sobel kernels with replicated edges."""
 
     def f(at, y, x):
-        gx = (at(-1, 1) + 2 * at(0, 1) + at(1, 1) - at(-1, -1) - 2 * at(0, -1) - at(1, -1)) * scale
-        gy = (at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1)) * scale
+        # differences first, so that a constant map has a gradient of exactly zero
+        gx = ((at(-1, 1) - at(-1, -1)) + 2 * (at(0, 1) - at(0, -1)) + (at(1, 1) - at(1, -1))) * scale
+        gy = ((at(1, -1) - at(-1, -1)) + 2 * (at(1, 0) - at(-1, 0)) + (at(1, 1) - at(-1, 1))) * scale
         g = F.hypot(gx, gy)
         return F.when((y == 0) | (x == 0) | (y == h - 1) | (x == w - 1), 0.0).otherwise(g) if clear_border else g
 

@@ -17,18 +17,18 @@ def _rounded(df, digits=6):
 
 
 _Q = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
-_QSQL = ", ".join(f"round(quantile_cont(v,{q}),6)+0.0 AS q{int(round(q * 1000)):04d}" for q in _Q)
-_STAT = "count(v) AS n, round(avg(v),6)+0.0 AS mean, round(stddev_pop(v),6)+0.0 AS std, round(min(v),6)+0.0 AS min, round(max(v),6)+0.0 AS max, round(avg((v=0)::INT::DOUBLE),6)+0.0 AS zero_share"
+_QSQL = ", ".join(f"round(quantile_cont(v,{q}),9)+0.0 AS q{int(round(q * 1000)):04d}" for q in _Q)
+_STAT = "count(v) AS n, round(avg(v),9)+0.0 AS mean, round(stddev_pop(v),9)+0.0 AS std, round(min(v),9)+0.0 AS min, round(max(v),9)+0.0 AS max, round(avg((v=0)::INT::DOUBLE),9)+0.0 AS zero_share"
 
 
 @query("score_quantiles", f"SELECT bank_id, {_STAT}, {_QSQL} FROM (SELECT bank_id, CAST(value_score AS DOUBLE) v FROM prototypes WHERE value_score IS NOT NULL) GROUP BY 1")
 def score_quantiles(s, d):
-    return _rounded(M.distribution(table(s, d, "prototypes").where("value_score is not null"), "value_score", ["bank_id"], _Q))
+    return _rounded(M.distribution(table(s, d, "prototypes").where("value_score is not null"), "value_score", ["bank_id"], _Q), 9)
 
 
 @query("event_statistics", f"SELECT event_type, {_STAT}, {_QSQL} FROM (SELECT event_type, value v FROM events WHERE value IS NOT NULL) GROUP BY 1")
 def event_statistics(s, d):
-    return _rounded(M.distribution(table(s, d, "events").where("value is not null"), "value", ["event_type"], _Q))
+    return _rounded(M.distribution(table(s, d, "events").where("value is not null"), "value", ["event_type"], _Q), 9)
 
 
 @query("binary_auc", "WITH r AS (SELECT (label%3=0) AS y, row_number() OVER (ORDER BY CAST(embedding[1] AS DOUBLE), vec_id) AS r FROM embeddings), t AS (SELECT count(*) FILTER (WHERE y) p, count(*) n, sum(r) FILTER (WHERE y) s FROM r) SELECT round((s-p*(p+1)/2)/(p*(n-p)),9) AS auc, p AS n_positive, n-p AS n_negative FROM t")
