@@ -73,29 +73,48 @@ def level_histogram(maps: DataFrame, key: str, pred: str, gt: str) -> DataFrame:
 def threshold_curves(maps: DataFrame, key: str, pred: str, gt: str, levels: int = 256, beta2: float = 0.3) -> DataFrame:
     """(level, precision, recall, f, e): means over maps at each threshold, prediction >= level.
 
-    One histogram a map, then sums from above: all thresholds in one pass. E is the enhanced
-    alignment in closed form over the four cells of the confusion table.
+    One histogram a map and sums from above give all thresholds at once; every task adds its maps
+    up, so what is shuffled is one row a level and task. E is the enhanced alignment in closed form
+    over the four cells of the confusion table.
     """
-    hist = level_histogram(maps, key, pred, gt)
-    totals = hist.groupBy(key).agg(F.sum("n_fg").alias("fg"), F.sum("n_bg").alias("bg"))
-    grid = totals.select(key, "fg", "bg", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
-    full = grid.join(hist, [key, "level"], "left")
-    w = Window.partitionBy(key).orderBy(F.desc("level"))
-    full = full.withColumn("tp", F.sum(F.coalesce("n_fg", F.lit(0))).over(w)).withColumn("fp", F.sum(F.coalesce("n_bg", F.lit(0))).over(w))
-    tp, fp, fg, n = F.col("tp"), F.col("fp"), F.col("fg"), (F.col("fg") + F.col("bg")).cast("double")
-    precision = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
-    recall = F.when(fg > 0, tp / fg).otherwise(0.0)
-    f = F.when((precision + recall) > 0, (1 + beta2) * precision * recall / (beta2 * precision + recall)).otherwise(0.0)
-    mp, mg = (tp + fp) / n, fg / n
+
+    def run(batches):
+        import pandas as pd
+
+        total, n_maps = np.zeros((4, levels)), 0
+        for pdf in batches:
+            for p, g in zip(pdf[pred], pdf[gt]):
+                level = np.clip(np.floor(np.asarray(p, float) * 255).astype(int), 0, levels - 1)
+                real = np.asarray(g) > 0
+                tp = np.bincount(level[real], minlength=levels)[::-1].cumsum()[::-1].astype(float)
+                fp = np.bincount(level[~real], minlength=levels)[::-1].cumsum()[::-1].astype(float)
+                total += _curves(tp, fp, float(real.sum()), float(real.size), beta2)
+                n_maps += 1
+        if n_maps:
+            yield pd.DataFrame({"level": np.arange(levels), "p": total[0], "r": total[1], "f": total[2], "e": total[3], "n": n_maps})
+
+    parts = maps.select(pred, gt).mapInPandas(run, "level int, p double, r double, f double, e double, n bigint")
+    mean = lambda c: F.sum(c) / F.sum("n")
+    return parts.groupBy("level").agg(mean("p").alias("precision"), mean("r").alias("recall"), mean("f").alias("f"), mean("e").alias("e"))
+
+
+def _curves(tp, fp, fg, n, beta2):
+    """Precision, recall, F and E at every level of one map."""
+    hits = tp + fp
+    pre = np.divide(tp, hits, out=np.zeros_like(tp), where=hits > 0)
+    rec = tp / fg if fg else np.zeros_like(tp)
+    low = beta2 * pre + rec
+    f = np.divide((1 + beta2) * pre * rec, low, out=np.zeros_like(tp), where=low > 0)
+    mp, mg = hits / n, fg / n
+    if fg == 0 or fg == n:
+        return np.stack([pre, rec, f, 1 - mp if fg == 0 else mp])
 
     def aligned(p, g):
         a, b = p - mp, g - mg
-        x = 2 * a * b / (a * a + b * b + EPS)
-        return (x + 1) * (x + 1) / 4
+        return (2 * a * b / (a * a + b * b + EPS) + 1) ** 2 / 4
 
     e = (tp * aligned(1, 1) + fp * aligned(1, 0) + (fg - tp) * aligned(0, 1) + (n - fg - fp) * aligned(0, 0)) / n
-    e = F.when(fg == 0, 1 - mp).when(F.col("bg") == 0, mp).otherwise(e)
-    return full.groupBy("level").agg(F.avg(precision).alias("precision"), F.avg(recall).alias("recall"), F.avg(f).alias("f"), F.avg(e).alias("e"))
+    return np.stack([pre, rec, f, e])
 
 
 def mae(pred: Column | str, gt: Column | str) -> Column:
