@@ -160,5 +160,28 @@ def queries():
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
 
+_LOOSE = r"regexp_replace(upper(trim(translate({x}, '_–—‐‑‒―−－', '---------'))), '[\s ]*-+[\s ]*', '-', 'g')"
+_SUBSET = r"""coalesce(CASE WHEN trim(subset)<>'' THEN subset END, CASE WHEN sample_key LIKE '%/%' THEN split_part(sample_key,'/',1) END, nullif(regexp_extract(replace(path,'\','/'),'([^/]+)/im/[^/]*$',1),''))"""
+_USABLE = "{v} IS NOT NULL AND len({v})={n} AND len(list_filter({v}, lambda x: x IS NULL OR isnan(x) OR isinf(x)))=0 AND len(list_filter({v}, lambda x: x<>0))>0"
+_CANON = r"regexp_replace(regexp_replace(trim(regexp_replace(replace(nfc_normalize({x}),'\','/'),'[\t\r\n]',' ','g')), '^(\./)+', ''), '\.(jpe?g|png|tiff?|bmp|webp|gif)$', '', 'i')"
+
+
 def oracle_sql():
-    return {}
+    """SQL where it can say the same on whole tables; the other queries are tested against brute force."""
+    p1 = f"""WITH roles AS (SELECT subset AS s, {_LOOSE.format(x="subset")} AS l FROM subset_roles), c AS (SELECT *, {_SUBSET} AS raw FROM image_catalog),
+    r AS (SELECT DISTINCT pool_id, s AS subset, coalesce(sample_key, chr(1)||s||'/'||regexp_extract(replace(path,'\\','/'),'[^/]*$')) AS id FROM c JOIN roles ON l={_LOOSE.format(x="raw")}),
+    n AS (SELECT pool_id, subset, count(*) n FROM r WHERE id IS NOT NULL GROUP BY 1,2),
+    t AS (SELECT pool_id, s AS subset, max(round(coalesce(target_share,0)*budget)) w, max(coalesce(min_keep,0)) f FROM target_mix JOIN roles ON l={_LOOSE.format(x="subset")} GROUP BY 1,2)
+    SELECT t.pool_id, t.subset FROM t LEFT JOIN n USING (pool_id, subset) WHERE coalesce(n,0)<w OR coalesce(n,0)<f"""
+    p3 = f"""WITH v AS (SELECT sample_key AS k, min(proto) AS e FROM prototypes WHERE is_valid AND bank_id IN (SELECT bank_id FROM memory_banks WHERE ok) AND sample_key IS NOT NULL AND {_USABLE.format(v="proto", n=128)} GROUP BY 1),
+    p AS (SELECT a.k, b.k AS o, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.k<>b.k), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c DESC, o) AS n FROM p WHERE c>=0.9)
+    SELECT DISTINCT least(k,o) AS key_a, greatest(k,o) AS key_b FROM r WHERE n<=5"""
+    p4 = f"""WITH l AS (SELECT DISTINCT run_id, parent_run_id AS par, split_level AS lv, {_CANON.format(x="sample_key")} AS k FROM split_rows), has AS (SELECT DISTINCT run_id, lv FROM l),
+    due AS (SELECT h.run_id, h.lv, l.k FROM has h JOIN l ON l.run_id=h.run_id AND l.lv<h.lv UNION SELECT h.run_id, h.lv, b.k FROM has h JOIN (SELECT DISTINCT run_id, par FROM l) x ON x.run_id=h.run_id JOIN l b ON b.run_id=x.par AND b.lv=h.lv)
+    SELECT run_id, lv AS split_level, k AS sample_key FROM due WHERE (run_id, lv, k) NOT IN (SELECT run_id, lv, k FROM l)"""
+    rate = " ".join(f"WHEN '{r}' THEN {x}" for r, x in RATES.items())
+    p4s = f"""WITH roles AS (SELECT subset AS s, split_role, {_LOOSE.format(x="subset")} AS l FROM subset_roles), c AS (SELECT *, {_SUBSET} AS raw FROM image_catalog WHERE sample_key IS NOT NULL)
+    SELECT DISTINCT sample_key, s AS subset FROM c JOIN roles ON l={_LOOSE.format(x="raw")} WHERE ('0x'||substr(md5('v1|'||sample_key),1,12))::BIGINT < floor(CASE split_role {rate} END * 281474976710656)"""
+    p6 = f"""WITH v AS (SELECT sample_key AS k, min(normalized_features) AS e FROM kmeans_result WHERE sample_key IS NOT NULL AND {_USABLE.format(v="normalized_features", n=64)} GROUP BY 1),
+    g AS (SELECT a.k, min(b.k) AS m, count(*) AS n FROM v a JOIN v b ON list_cosine_similarity(a.e, b.e)>=0.835 GROUP BY 1) SELECT k AS sample_key, m AS cluster_key FROM g WHERE n>=3"""
+    return {"p1_found": p1, "p3_found": p3, "p4_found": p4, "p4_sample": p4s, "p6_found": p6}
