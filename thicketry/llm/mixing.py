@@ -34,8 +34,9 @@ def sample_to_mix(records: DataFrame, targets: DataFrame, seed: int = 17, bucket
     """
     t = _targets(targets)
     rows = records.where(F.col("pool").isNotNull() & F.col("category").isNotNull() & F.col("id").isNotNull()).select("pool", "category", "id").distinct()
-    h = F.xxhash64("id", F.lit(seed))
-    rows = rows.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned("_h", 64 - (buckets.bit_length() - 1)).cast("int"))
+    h = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1)
+    bits = max(0, buckets.bit_length() - 1)
+    rows = rows.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 63 - bits).cast("int") if bits else F.lit(0))
     # counts per hash range, summed up: what stands before each range in its category
     count = rows.groupBy("pool", "category", "_b").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("pool", "category")
