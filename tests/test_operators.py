@@ -205,3 +205,25 @@ def test_cosine_moments(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     c = (u @ u.T)[np.triu_indices(30, 1)]
     assert m.mean == pytest.approx(c.mean()) and m.std == pytest.approx(c.std())
+
+
+def test_kmeans_representatives(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"k{g}{i}", (np.eye(3)[g] + 0.05 * rng.normal(size=3)).tolist()) for g in range(3) for i in range(20)] + [("none", None)]
+    model, out = clusters.kmeans(frame(spark, rows, "k string, v array<double>"), "k", "v", 3, seed=1)
+    by = {r.k: r.cluster for r in out.collect()}
+    assert len(model) == 3 and all(by[f"k{g}{i}"] == g for g in range(3) for i in range(20))
+    reps = clusters.unique_representatives(out, model, "k", "v").collect()
+    assert sorted(r.cluster for r in reps) == [0, 1, 2] and len({r.k for r in reps}) == 3
+    same = frame(spark, [("a", [1.0, 0.0]), ("b", [1.0, 0.0])], "k string, v array<double>").withColumn("_x", F.col("v"))
+    assert {r.k for r in clusters.unique_representatives(same, [[1.0, 0.0], [1.0, 0.0]], "k", "v").collect()} == {"a", "b"}
+    with pytest.raises(ValueError, match="distinct"):
+        clusters.kmeans(same.drop("_x"), "k", "v", 2, seed=1)
+
+
+def test_resize_and_warp(spark):
+    a = np.arange(16.0)
+    df = frame(spark, [(1, a.tolist(), [0.0] * 16, [0.5] * 16)], "k int, a array<double>, dy array<double>, dx array<double>")
+    assert maps.resize_bilinear(df, "k", "a", 4, 4, 4, 4).first().a == a.tolist()
+    assert maps.resize_bilinear(df, "k", "a", 4, 4, 2, 2).first().a == [2.5, 4.5, 10.5, 12.5]
+    assert maps.warp(df, "k", "a", "dy", "dx", 4, 4).first().a[:4] == [0.5, 1.5, 2.5, 3.0]

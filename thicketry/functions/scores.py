@@ -77,3 +77,23 @@ def margin_confidence(margin: Column | str, temperature: float = 0.1, floor: flo
 
 def contradiction(parent: Column | str, semantic: Column | str, detail: Column | str) -> Column:
     return (F.abs(col(parent) - col(semantic)) + F.abs(col(semantic) - col(detail))) / 2
+
+
+def geometry_error(sdf: tuple, normal: tuple, offset: tuple) -> Column:
+    """|distance error| + 0.5 (1 - cosine of normals) + 0.5 |offset error|, from pairs (predicted, real); a normal is a pair (x, y)."""
+    (nx, ny), (mx, my) = normal
+    cos = (col(nx) * col(mx) + col(ny) * col(my)) / F.greatest(F.hypot(col(nx), col(ny)) * F.hypot(col(mx), col(my)), F.lit(EPS))
+    return F.abs(col(sdf[0]) - col(sdf[1])) + 0.5 * (1 - cos) + 0.5 * F.abs(col(offset[0]) - col(offset[1]))
+
+
+def gate_target(need: Column | str, contradicted: Column | str) -> Column:
+    return col(need) * (1 - col(contradicted))
+
+
+def support_weight(target: Column | str, hard: Column | str) -> Column:
+    """2 for a hard negative, else 1."""
+    return F.when(col(hard) & (col(target) <= 0), 2.0).otherwise(1.0)
+
+
+def class_nll(p: Column | str, eps: float = EPS) -> Column:
+    return -F.log(F.greatest(col(p), F.lit(eps)))

@@ -25,8 +25,59 @@ def squared_distance(a: Column | str, b: Column | str) -> Column:
 
 def nearest_to_centroid(df: DataFrame, key: str, cluster: str, vector: str, digits: int = 9) -> DataFrame:
     """One row per cluster: the member nearest to the centroid, ties by key."""
-    joined = df.join(F.broadcast(c), cluster) if (c := centroids(df, cluster, vector)) is not None else df
+    joined = df.join(centroids(df, cluster, vector), cluster)
     dist = F.sqrt(squared_distance(vector, "centroid"))
     ranked = joined.select(cluster, key, F.round(dist, digits).alias("dist"))
     best = ranked.groupBy(cluster).agg(F.min(F.struct("dist", key)).alias("m"))
     return best.select(cluster, F.col(f"m.{key}").alias(key), F.round("m.dist", 6).alias("dist"))
+
+
+def kmeans(df: DataFrame, key: str, vector: str, k: int, seed: int, normalize: bool = True, steps: int = 50) -> tuple[list, DataFrame]:
+    """(centres, rows with ``cluster`` and ``dist``) of Lloyd's k-means, seeded; on unit vectors by default.
+
+    Rows with null or empty vectors are left out. Raises if there are fewer distinct vectors than
+    clusters. The assignment is renumbered so that clusters stand in the order of their smallest key.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from thicketry.functions import vectors as V
+
+    x = df.where(F.size(vector) > 0).select(key, vector, (V.l2_normalize(vector) if normalize else F.transform(vector, lambda v: v.cast("double"))).alias("_x"))
+    if x.select("_x").distinct().limit(k).count() < k:
+        raise ValueError(f"fewer than {k} distinct vectors")
+    ready = x.withColumn("_v", array_to_vector("_x"))
+    model = KMeans(k=k, seed=seed, maxIter=steps, featuresCol="_v", predictionCol="_c").fit(ready)
+    out = model.transform(ready)
+    order = [r[0] for r in out.groupBy("_c").agg(F.min(key).alias("m")).orderBy("m").collect()]
+    centres = [[float(v) for v in model.clusterCenters()[c]] for c in order]
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("_c")) - 1
+    rows = out.select(key, vector, "_x", place.cast("int").alias("cluster"))
+    own = F.get(F.array(*(F.array(*map(F.lit, c)) for c in centres)), F.col("cluster"))
+    return centres, rows.withColumn("dist", F.sqrt(squared_distance("_x", own)))
+
+
+def unique_representatives(rows: DataFrame, centres: list, key: str, vector: str) -> DataFrame:
+    """(cluster, key): the row nearest to each centre, no row twice; later centres take their next nearest.
+
+    Each centre keeps its ``len(centres)`` nearest rows, which is enough; they meet in one task.
+    """
+    from pyspark.sql import Window
+
+    k = len(centres)
+    c = rows.sparkSession.createDataFrame([(i, v) for i, v in enumerate(centres)], "cluster int, centre array<double>")
+    near = rows.select(key, "_x").join(F.broadcast(c)).select("cluster", key, F.round(F.sqrt(squared_distance("_x", "centre")), 9).alias("d"))
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("d", key))).where(F.col("r") <= k)
+
+    def pick(pdf):
+        import pandas as pd
+
+        taken, out = set(), []
+        for i, part in pdf.sort_values(["cluster", "r"]).groupby("cluster"):
+            mine = next((x for x in part[key] if x not in taken), None)
+            if mine is not None:
+                taken.add(mine)
+                out.append((i, mine))
+        return pd.DataFrame(out, columns=["cluster", key])
+
+    return near.groupBy(F.lit(0).alias("all")).applyInPandas(pick, f"cluster int, {key} {rows.schema[key].dataType.simpleString()}")

@@ -140,3 +140,48 @@ def lead_difference(pixels: DataFrame, image: str, y: str, x: str, value: str) -
     v = F.col(value)
     wx, wy = Window.partitionBy(image, y).orderBy(x), Window.partitionBy(image, x).orderBy(y)
     return pixels.withColumn("dx", F.coalesce(F.lead(v).over(wx) - v, F.lit(0.0))).withColumn("dy", F.coalesce(F.lead(v).over(wy) - v, F.lit(0.0)))
+
+
+def resize_bilinear(maps: DataFrame, key: str, array: str, h: int, w: int, to_h: int, to_w: int) -> DataFrame:
+    """(key, array): bilinear, half-pixel centres, edges replicated; an Arrow batch of maps at a time."""
+
+    def axis(n, m):
+        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        lo = np.floor(at).astype(int)
+        return lo, np.minimum(lo + 1, n - 1), at - lo
+
+    def run(batches):
+        import pandas as pd
+
+        (y0, y1, fy), (x0, x1, fx) = axis(h, to_h), axis(w, to_w)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            a = np.stack(pdf[array].to_numpy()).astype(float).reshape(-1, h, w)
+            rows = a[:, y0] * (1 - fy)[None, :, None] + a[:, y1] * fy[None, :, None]
+            out = rows[:, :, x0] * (1 - fx) + rows[:, :, x1] * fx
+            yield pd.DataFrame({key: pdf[key].to_numpy(), array: list(out.reshape(len(out), -1))})
+
+    return maps.select(key, array).mapInPandas(run, f"{key} {maps.schema[key].dataType.simpleString()}, {array} array<double>")
+
+
+def warp(maps: DataFrame, key: str, array: str, dy: str, dx: str, h: int, w: int) -> DataFrame:
+    """(key, array): each cell read at its own place moved by (dy, dx) cells, bilinear, edges replicated."""
+
+    def run(batches):
+        import pandas as pd
+
+        ys, xs = np.mgrid[0:h, 0:w]
+        for pdf in batches:
+            out = []
+            for a, oy, ox in zip(pdf[array], pdf[dy], pdf[dx]):
+                a = np.asarray(a, float).reshape(h, w)
+                y, x = np.clip(ys + np.reshape(oy, (h, w)), 0, h - 1), np.clip(xs + np.reshape(ox, (h, w)), 0, w - 1)
+                y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+                y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+                fy, fx = y - y0, x - x0
+                v = (a[y0, x0] * (1 - fx) + a[y0, x1] * fx) * (1 - fy) + (a[y1, x0] * (1 - fx) + a[y1, x1] * fx) * fy
+                out.append(v.ravel())
+            yield pd.DataFrame({key: pdf[key].to_numpy(), array: out})
+
+    return maps.select(key, array, dy, dx).mapInPandas(run, f"{key} {maps.schema[key].dataType.simpleString()}, {array} array<double>")

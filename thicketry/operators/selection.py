@@ -32,12 +32,15 @@ def round_robin(df: DataFrame, key: str, cluster: str, dist: str, seed: str) ->
     """Adds ``step``: clusters take turns in the order of their nearest member's key, seeds left out.
 
     A cluster's place is named by its nearest member of all, seeds included; within a cluster rows
-    go by distance, then key.
+    go by distance, then key. The overall order is numbered by range partitions, not in one task.
     """
+    from thicketry.operators.relations import numbered
+
     within = Window.partitionBy(cluster).orderBy(dist, key)
     named = df.withColumn("_who", F.first(key).over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     rest = named.where(~F.col(seed)).withColumn("_turn", F.row_number().over(within))
-    return rest.withColumn("step", F.row_number().over(Window.orderBy("_turn", "_who"))).drop("_who", "_turn", seed)
+    out = numbered(rest, "_turn", "_who").withColumn("step", (F.col("position") + 1).cast("int"))
+    return out.drop("_who", "_turn", seed, "position")
 
 
 def nested_budgets(order: DataFrame, seeds: DataFrame, key: str, budgets: list[int], n_seeds: int) -> DataFrame:
@@ -46,10 +49,15 @@ def nested_budgets(order: DataFrame, seeds: DataFrame, key: str, budgets: list[i
     return order.select(key, "step", b).where(F.col("step") <= F.col("budget") - n_seeds).select("budget", key).unionByName(seeds.select(b, key))
 
 
-def quota_top(df: DataFrame, key: str, cluster: str, score: str, quotas: DataFrame) -> DataFrame:
-    """The rows of each cluster up to its quota by score, ties by key."""
+def quota_top(df: DataFrame, key: str, cluster: str, score: str, quotas: DataFrame, most: int) -> DataFrame:
+    """The rows of each cluster up to its quota by score, ties by key.
+
+    ``most`` bounds every quota (the budget does); tasks drop what ranks beyond it before the
+    shuffle (window group limit), so a hot cluster ships at most ``most`` rows a task.
+    """
     w = Window.partitionBy(cluster).orderBy(F.desc(score), key)
-    return df.join(F.broadcast(quotas.select(cluster, "quota")), cluster).withColumn("rank", F.row_number().over(w)).where("rank <= quota").select(key, cluster, score, "rank")
+    ranked = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return ranked.join(quotas.select(cluster, "quota"), cluster).where("rank <= quota").select(key, cluster, score, "rank")
 
 
 def md5_order(key: str, seed: str) -> Column:
@@ -57,12 +65,21 @@ def md5_order(key: str, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + "|"), F.col(key).cast("string")))
 
 
-def stratified_sample(df: DataFrame, key: str, stratum: str, fraction: float, least: int, seed: str = "0") -> DataFrame:
-    """From each stratum ``max(least, ceil(fraction x size))`` rows in md5 order, at most all."""
-    n = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+def stratified_sample(df: DataFrame, key: str, stratum: str, fraction: float, least: int, seed: str = "0", digits: int = 3) -> DataFrame:
+    """From each stratum ``max(least, ceil(fraction x size))`` rows in md5 order, at most all.
+
+    A stratum is split by the first ``digits`` of the md5: only counts are summed over it, parts
+    below the cut come whole, and only the part at the cut is ranked. A hot stratum is no hot task.
+    """
+    rows = df.withColumn("_o", md5_order(key, seed)).withColumn("_b", F.substring("_o", 1, digits))
+    counts = rows.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(stratum)
+    counts = counts.withColumn("_n", F.sum("_c").over(w)).withColumn("_before", F.sum("_c").over(w.orderBy("_b")) - F.col("_c"))
     want = F.least(F.col("_n"), F.greatest(F.lit(least), F.ceil(F.round(F.col("_n") * fraction, 9))))
-    w = Window.partitionBy(stratum).orderBy(md5_order(key, seed), key)
-    return df.join(F.broadcast(n), stratum).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= want).drop("_r", "_n")
+    parts = counts.withColumn("_left", want - F.col("_before")).where("_left > 0").withColumn("_whole", F.col("_left") >= F.col("_c")).select(stratum, "_b", "_left", "_whole")
+    near = rows.join(parts, [stratum, "_b"])
+    cut = near.where("not _whole").withColumn("_r", F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_o", key))).where("_r <= _left").drop("_r")
+    return near.where("_whole").unionByName(cut).select(*df.columns)
 
 
 def seeded_subset(df: DataFrame, key: str, n: int, seed: str = "0") -> DataFrame:

@@ -34,7 +34,7 @@ def quota_largest_remainder(s, d):
 def quota_top_selection(s, d):
     e = _scored(s, d)
     q = S.largest_remainder(e.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label", "n", 137)
-    return S.quota_top(e, "vec_id", "label", "score", q).withColumn("score", F.round("score", 9))
+    return S.quota_top(e, "vec_id", "label", "score", q, 137).withColumn("score", F.round("score", 9))
 
 
 _ROUND = """WITH k AS (SELECT sample_key, min(cluster_id) AS cluster_id, min(center_distance) AS dist FROM kmeans_result WHERE sample_key IS NOT NULL AND cluster_id IS NOT NULL AND center_distance IS NOT NULL GROUP BY 1),
@@ -86,6 +86,15 @@ for _v in scores.VARIANTS:
     query(f"greedy_{_v}", greedy_sql(_v, 20))(_greedy(_v))
 
 
+@query("kmeans_representatives")
+def kmeans_representatives(s, d):
+    """One representative a cluster of a seeded k-means; no two centres share one."""
+    from thicketry.operators import clusters as C
+
+    model, rows = C.kmeans(table(s, d, "embeddings"), "vec_id", "embedding", 12, seed=7)
+    return C.unique_representatives(rows, model, "vec_id", "embedding")
+
+
 @query("nested_selection")
 def nested_selection(s, d):
     """Quotas without look-alikes; the vectors are far apart, so the threshold is low."""
