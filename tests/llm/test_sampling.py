@@ -77,6 +77,7 @@ def test_parse():
     want = [(mark, " ".join(words))]
     for name in (f"moth-moss-pool-{mark}", f"IMG_MOTH_MOSS_POOL_{mark.upper()}", f"copy of {mark} moth.moss.pool (2)", f"móth-moss-pool-{mark}-640x480", f"MothMossPool{mark.capitalize()}", "ｍｏｔｈ-moss-pool-ｚｑｚ９ｄｑｍｂｂｊｃｃｇｆ", f"moth%20moss+pool~{mark}@2x", f"{mark.capitalize()}PoolMossMoth - Kopie"):
         assert overlap.parse(name) == want, name
+    assert overlap.parse("b" * 300_000) == [] and overlap.parse("%62" * 300) == []
     assert overlap.parse("frame001993348") == [] and overlap.parse("img005483485") == [] and overlap.parse("") == []
     assert (mark, "=mothmosspool" + mark) in overlap.parse("mothmosspool" + mark)
 

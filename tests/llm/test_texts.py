@@ -98,6 +98,13 @@ def test_leaks(spark):
     assert leak(spark, docs[:1], []).count() == 0 and leak(spark, [], items).count() == 0
 
 
+def test_leaks_of_equally_named_keys_and_a_long_text(spark):
+    d = spark.createDataFrame([(1, ("word " * 300_000) + LONG)], "id bigint, text string")
+    i = spark.createDataFrame([(5, LONG)], "id bigint, text string")
+    got = leakage.leaks(d, "id", "text", i, "id", "text").collect()
+    assert [(r.id, r.id_item, r.spans[0].first) for r in got] == [(1, 5, 300_000)]
+
+
 def test_leaks_against_brute_force(spark):
     rng = np.random.default_rng(5)
     vocab = [f"w{i}" for i in range(12)]

@@ -147,11 +147,13 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     A text holds an item if it has ``least`` consecutive words of it, or all its words if it has
     fewer; ``spans`` are the merged hits as (first, last + 1) word numbers. Null and empty texts and
     passages hold nothing; repeated rows of a text have rows of their own; two items with the same
-    passage are both reported. The items are sent to the tasks in blocks of at most about
+    passage are both reported; if both keys have one name, that of the items gets ``_item`` behind it. The items are sent to the tasks in blocks of at most about
     ``block_chars`` characters, one pass over the corpus each, whose number comes from a count
     first; the corpus is neither shuffled nor collected.
     """
     items = items.select(F.col(item_key).alias("_item"), F.col(passage).alias("_passage")).where(F.length("_passage") > 0).distinct()
+    if item_key == key:
+        item_key = f"{item_key}_item"
     chars = items.agg(F.sum(F.length("_passage"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     schema = T.StructType(
