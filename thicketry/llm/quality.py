@@ -37,8 +37,8 @@ _CUT = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]")
 _GAP = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
-_PLAIN = frozenset(".,;:!?'\"’‘“”«»()-–—…。，、；：？！（）《》「」『』·%¿¡")
-_GARBLE = frozenset("ÃÂı�")
+# Symbols that prose does not use, and letters that wrong decoding leaves; combining marks are neither.
+_ODD = re.compile("[^\\w\\s.,;:!?'\"’‘“”«»()\\-–—…。，、；：？！（）《》「」『』·%¿¡̀-ͯ]|[_ÃÂı�]")
 
 
 def _nonblank(s: str) -> int:
@@ -73,11 +73,11 @@ def _sentence(s: str) -> bool:
     n = _nonblank(s)
     if n < 8:
         return False
-    plain = sum(c.isalpha() for c in s)
-    digits = sum(c.isdigit() for c in s)
-    odd = sum(1 for c in s if not (c.isalnum() or c.isspace() or c in _PLAIN or _mark(c))) + sum(c in _GARBLE for c in s)
+    plain = sum(map(str.isalpha, s))
+    digits = sum(map(str.isdigit, s))
+    odd = len(_ODD.findall(s))
     ended = bool(_END.search(s))
-    cjk = len(_CJK.findall(s))
+    cjk = 0 if s.isascii() else len(_CJK.findall(s))
     if odd > 0.1 * n or plain < 0.5 * n or digits > 0.35 * n:
         return False
     if cjk >= 0.3 * plain and cjk >= 5:
@@ -94,12 +94,6 @@ def _sentence(s: str) -> bool:
     return ended and commas <= 0.15 * w and lower >= 0.5 * w and (common >= 0.05 * w or w >= 6) and plain >= 0.7 * n and 2.2 <= plain / w <= 12
 
 
-def _mark(c: str) -> bool:
-    import unicodedata
-
-    return unicodedata.category(c)[0] == "M"
-
-
 def measure(text: str | None) -> dict | None:
     """The figures of one whole text; None for a null or blank one."""
     if text is None or not text.strip():
@@ -110,7 +104,7 @@ def measure(text: str | None) -> dict | None:
     words_of = {i: _WORD.findall(lines[i]) for i in live}
     common_of = {i: sum(x.lower() in COMMON_WORDS for x in words_of[i]) for i in live}
     ended = {i: bool(_END.search(lines[i])) for i in live}
-    cjk_of = {i: len(_CJK.findall(lines[i])) for i in live}
+    cjk_of = {i: 0 if lines[i].isascii() else len(_CJK.findall(lines[i])) for i in live}
 
     def fluent(i: int) -> bool:
         if cjk_of[i] >= 12:
@@ -200,8 +194,8 @@ def measure(text: str | None) -> dict | None:
     return {
         "word_count": len(words),
         "mean_word_length": letters / len(words) if words else 0.0,
-        "symbol_share": sum(not (c.isalnum() or c.isspace()) for c in text) / total,
-        "digit_share": sum(c.isdigit() for c in text) / total,
+        "symbol_share": (total - sum(map(str.isalnum, text))) / total,
+        "digit_share": sum(map(str.isdigit, text)) / total,
         "end_punct_share": sum(ended.values()) / len(live),
         "common_word_share": sum(common_of.values()) / len(words) if words else 0.0,
         "line_count": len(live),
