@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from thicketry.functions import fingerprints, keys, scores
 from thicketry.functions import vectors as V
+from thicketry.plans import catalogue
 
 
 def one(spark, *cols, **values):
@@ -88,3 +89,11 @@ def test_fingerprints(spark):
         fingerprints.canonical_json({"x": float("nan")})
     empty = fingerprints.key_fingerprint(a.limit(0), "k").first()
     assert empty.n_keys == 0
+
+
+def test_list_fingerprints_hold_every_key(spark, tmp_path):
+    lists = {(1, 1): ["a/x", "a\\x", 'a/"q"'], (1, 2): ["a/x", "a\\y", 'a/"q"'], (2, 1): ["\\"], (2, 2): ['\\"', "b"], (3, 1): ["b", "a"]}
+    rows = [(*k, x) for k, v in lists.items() for x in [*v, v[0], None]]
+    spark.createDataFrame(rows, "run_id bigint, split_level int, sample_key string").write.parquet(f"{tmp_path}/split_rows.parquet")
+    got = {(r.run_id, r.split_level): (r.n_keys, r.fingerprint) for r in catalogue.queries()["split_fingerprints"](spark, str(tmp_path)).collect()}
+    assert got == {k: (len(v), fingerprints.value_fingerprint({"sample_keys": sorted(v)})) for k, v in lists.items()}

@@ -116,9 +116,14 @@ def catalog_fingerprint(s, d):
     f"""WITH l AS ({_LISTS}) SELECT run_id, split_level, count(*) AS n_keys, sha256('{{"sample_keys":["'||string_agg(sample_key, '","' ORDER BY sample_key)||'"]}}') AS fingerprint FROM l WHERE sample_key NOT LIKE '%\\%' AND sample_key NOT LIKE '%"%' GROUP BY 1,2""",
 )
 def split_fingerprints(s, d):
-    """A list of a run is bounded by its budget, so one row may hold it."""
-    rows = table(s, d, "split_rows").select("run_id", "split_level", "sample_key").distinct().where(~F.col("sample_key").contains("\\") & ~F.col("sample_key").contains('"'))
-    text = F.concat(F.lit('{"sample_keys":["'), F.array_join(F.array_sort(F.collect_list("sample_key")), '","'), F.lit('"]}'))
+    """All keys of each list, in order, with backslash and double quote escaped by a backslash.
+
+    A list of a run is bounded by its budget, so one row may hold it. The SQL escapes nothing and
+    leaves out the keys that would need it: it says the same only of lists without such keys.
+    """
+    rows = table(s, d, "split_rows").where(KEYED).select("run_id", "split_level", "sample_key").distinct()
+    escaped = F.transform(F.array_sort(F.collect_list("sample_key")), lambda k: F.replace(F.replace(k, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')))
+    text = F.concat(F.lit('{"sample_keys":["'), F.array_join(escaped, '","'), F.lit('"]}'))
     return rows.groupBy("run_id", "split_level").agg(F.count(F.lit(1)).alias("n_keys"), F.sha2(text, 256).alias("fingerprint"))
 
 
