@@ -47,6 +47,18 @@ def test_small_memory_and_batches_change_nothing(spark, ranks):
     assert one == {r.k: r.ids for r in bpe.encode_texts(df, "k", "t", ranks).collect()}
 
 
+def test_forgetting_keeps_the_words_of_the_batch(spark, ranks):
+    few, all_ = bpe.PairIndexEncoder(ranks, keep=3), bpe.PairIndexEncoder(ranks)
+    all_.learn(["inter", "zzzzzz", " the", "ababab"])
+    for batch in (["inter", "zzzzzz"], ["zzzzzz", " the", "ababab"], ["inter", "zzzzzz", " the", "ababab"], ["inter"]):
+        few.learn(iter(batch))
+        assert all(few.known[w] == all_.known[w] for w in batch)
+    df = spark.createDataFrame([(i, f"shared words stay zzqx{i} vvkw{i}") for i in range(40)], "k bigint, t string").coalesce(1)
+    want = {r.k: r.ids for r in bpe.encode_texts(df, "k", "t", ranks).collect()}
+    for keep in (1, 5, 9):
+        assert want == {r.k: r.ids for r in bpe.encode_texts(df, "k", "t", ranks, batch_chars=60, keep=keep).collect()}
+
+
 def test_suffix_array_and_search():
     rng = np.random.default_rng(0)
     for size, n in ((2, 1), (3, 40), (5, 300)):

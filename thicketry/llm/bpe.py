@@ -53,10 +53,12 @@ class PairIndexEncoder:
         return r
 
     def learn(self, words: Iterable[str]) -> None:
-        """Adds the encodings of the words that are not known yet."""
-        new = [w for w in set(words) if w not in self.known]
+        """Adds the encodings of the words that are not known yet; afterwards all of ``words`` are known."""
+        words = set(words)
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.keep:
             self.known.clear()
+            new = list(words)
         rank, first = self._rank, self.first
         sym: list[int] = []
         starts = []
@@ -131,13 +133,14 @@ class PairIndexEncoder:
         return tuple(s)
 
 
-def encode_texts(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str = PATTERN, batch_chars: int = 4_000_000) -> DataFrame:
+def encode_texts(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str = PATTERN, batch_chars: int = 4_000_000, keep: int = 300_000) -> DataFrame:
     """(key, ids): the token ids of each whole text, without special tokens.
 
     Null and empty texts give an empty list; marker strings in a text are ordinary text; a repeated
     row gives a row each; other columns are not read. The work is one pass without a shuffle; the
     vocabulary (a file of fixed size) is broadcast. ``batch_chars`` bounds the texts that are held
-    at once in a task, except that one text always fits.
+    at once in a task, except that one text always fits; ``keep`` bounds the words a task remembers
+    from batch to batch.
     """
     import pyarrow as pa
 
@@ -148,7 +151,7 @@ def encode_texts(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pa
         import numpy as np
         import regex
 
-        enc = PairIndexEncoder(shared.value)
+        enc = PairIndexEncoder(shared.value, keep)
         split = regex.compile(pattern).findall
 
         def flush(keys, toks, kind):
