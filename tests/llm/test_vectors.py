@@ -140,6 +140,16 @@ def test_variety(spark):
     assert variety.varied_subset(df.limit(3), "k", "s", "v", D, 10).count() == 3
 
 
+def test_variety_fills_the_budget_from_look_alikes(spark):
+    rows = [(k, v, "A" if k < "g006" else "B") for k, v in groups([1] * 10 + [300])]
+    df = spark.createDataFrame(rows, "k string, v array<float>, s string").repartition(3)
+    got = variety.varied_subset(df, "k", "s", "v", D, 60).orderBy("selection_order").collect()
+    assert len(got) == 60 == len({r.key for r in got}) and [r.selection_order for r in got] == list(range(60))
+    assert len({r.key[:4] for r in got[:11]}) == 11
+    every = variety.varied_subset(df, "k", "s", "v", D, 1000).collect()
+    assert sorted(r.key for r in every) == sorted(k for k, _, _ in rows) and sorted(r.selection_order for r in every) == list(range(310))
+
+
 def test_feature_tree_keeps_sums():
     x = np.random.default_rng(4).normal(size=(500, 4))
     t = variety.CFTree(4, most=40, branch=8, threshold=0.05)

@@ -191,7 +191,8 @@ def varied_subset(df: DataFrame, key: str, stratum: str, vector: str, size: int,
 
     Null, short, non-finite and zero vectors and null keys are left out; a key counts once; a null
     stratum is a stratum of its own (the empty string); with fewer records than ``budget`` all come
-    out that are nearest to some centre. Strata take turns, so each is reached early; within one,
+    out. Where there are fewer groups than that, the next nearest records of the groups fill the
+    subset up, last in order. Strata take turns, so each is reached early; within one,
     each next record is the one farthest from those chosen. A group of look-alikes, however large,
     is one entry. Of ``spare`` times the budget, the records more similar than ``alike`` to one taken
     before (of another stratum, too) wait until no other is left. A task holds at most ``most_entries`` entries a stratum, the driver one count a
@@ -359,4 +360,40 @@ def varied_subset(df: DataFrame, key: str, stratum: str, vector: str, size: int,
         return pa.table([t.column("key"), t.column("stratum"), pa.array(np.arange(t.num_rows, dtype=np.int32)), t.column("group_size")], names=final.names)
 
     # at most ``spare`` times ``budget`` rows meet in one task
-    return near.drop("dist").groupBy("stratum").applyInArrow(order, offered).groupBy(F.lit(0).alias("all")).applyInArrow(take, final)
+    out = cut(near.drop("dist").groupBy("stratum").applyInArrow(order, offered).groupBy(F.lit(0).alias("all")).applyInArrow(take, final))
+    have = out.count()
+    missing = min(budget, sum(counts.values())) - have
+    if missing <= 0:
+        return out
+
+    # fewer groups than the budget: their next nearest records follow, group by group in turns
+    spot = T.StructType([*best.fields[:4], T.StructField("group_size", T.LongType())])
+
+    def assign(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column(2), size).astype(np.float64)
+            s = np.array(b.column(1).to_pylist(), object)
+            grp, dist, n = np.zeros(len(s), np.int32), np.zeros(len(s)), np.zeros(len(s), np.int64)
+            for k in set(s):
+                own = np.nonzero(s == k)[0]
+                c = shared.value[0][k]
+                d = (c * c).sum(1) - 2 * x[own] @ c.T + 1
+                grp[own] = d.argmin(1)
+                dist[own] = np.round(d.min(1), 9)
+                n[own] = np.round(shared.value[1][k][grp[own]])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(grp), pa.array(dist), b.column(0), pa.array(n)], names=spot.names)
+
+    def follow(table):
+        import pyarrow as pa
+
+        t = table.sort_by([("r", "ascending"), ("stratum", "ascending"), ("group", "ascending")])
+        return pa.table([t.column("key"), t.column("stratum"), pa.array(np.arange(have, have + t.num_rows, dtype=np.int32)), t.column("group_size")], names=final.names)
+
+    rest = rows.join(out.select("key"), "key", "left_anti").select("key", "stratum", "vec").mapInArrow(assign, spot)
+    rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("stratum", "group").orderBy("dist", "key"))).where(F.col("r") <= missing)
+    rest = rest.orderBy("r", "stratum", "group").limit(missing)
+    return out.unionByName(rest.groupBy(F.lit(0).alias("all")).applyInArrow(follow, final))
