@@ -115,6 +115,21 @@ def test_chain_is_cut_into_similar_groups(spark):
         assert all(r.sim == pytest.approx(1, abs=1e-5) for r in c if r.key == r.root)
 
 
+def test_pivots_are_apart_however_few_the_rounds(spark):
+    """With no or few rounds over anchors, and chains, no two pivots are similar and no member is unlike its pivot."""
+    a = np.linspace(0, 3.0, 60)
+    chain = [(f"p{i:02d}", [float(np.cos(t)), float(np.sin(t))] + [0.0] * (D - 2)) for i, t in enumerate(a)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")  # a block is at least one batch
+    try:
+        for rows, least, most in ((groups([3] * 60 + [1] * 40, spread=0.02), 0.835, 0), (chain, 0.95, 1)):
+            c = grouping.similarity_clusters(frame(spark, rows), "k", "v", D, least=least, block_rows=10, cell_rows=8, margin=0.0, quiet=1, most=most).collect()
+            assert len(c) == len(rows) and min(r.sim for r in c) >= least - 1e-4
+            x = np.array([r.vec for r in c if r.key == r.root])
+            assert (x @ x.T - 2 * np.eye(len(x))).max() < least + 1e-5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_pivots_against_the_plain_loop():
     x = unit(np.random.default_rng(3).normal(size=(300, 3)))
     own, sim = grouping.pivots_in_order(x, 0.8, chunk=37)

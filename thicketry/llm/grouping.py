@@ -5,9 +5,10 @@ are clustered first (a record that no earlier pivot of its block resembles is a
 similar later ones), so that a group with a third of all rows shrinks to one pivot a block before
 anything is shuffled. Then the pivots meet in rounds: those near the same anchors share a cell,
 within which a pivot with no similar pivot before it in hash order (a local minimum) absorbs the
-similar ones, each going to its closest. Each round draws other anchors; rounds end when three in
-a row absorb nothing. At last every member is held against its pivot; those that are not similar
-enough (absorbed over a chain) meet the pivots again, and medoids are computed.
+similar ones, each going to its closest. Each round draws other anchors; when three in a row absorb
+nothing, rounds follow in which every pivot meets every other, until one of these absorbs nothing.
+At last every member is held against its pivot; those that are not similar enough (absorbed over a
+chain) meet the pivots again until there are none, and medoids are computed.
 """
 
 from __future__ import annotations
@@ -83,8 +84,8 @@ def _local(batches: Iterator, least: float, block_rows: int, size: int) -> Itera
         yield flush(held)
 
 
-def _round(pivots: DataFrame, anchors: np.ndarray, least: float, margin: float, size: int, cells: int = 4) -> DataFrame:
-    """(key, root, sim): within each cell the closest earlier pivot of every pivot that has one."""
+def _near(pivots: DataFrame, anchors: np.ndarray, margin: float, size: int, cells: int = 4) -> DataFrame:
+    """(cell, key, hash, vec): each pivot in the cells of its nearest anchors."""
     shared = pivots.sparkSession.sparkContext.broadcast(anchors)
     key_type = pivots.schema["key"].dataType
 
@@ -102,6 +103,22 @@ def _round(pivots: DataFrame, anchors: np.ndarray, least: float, margin: float,
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(top[row, col].astype(np.int32)), b.column("key").take(take), b.column("hash").take(take), lists(x[row])], names=["cell", "key", "hash", "vec"])
 
+    sent = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("key", key_type), T.StructField("hash", T.LongType()), T.StructField("vec", T.ArrayType(T.FloatType()))])
+    return pivots.select("key", "hash", "vec").mapInArrow(send, sent)
+
+
+def _all_pairs(pivots: DataFrame, blocks: int) -> DataFrame:
+    """(cell, key, hash, vec): a cell for any two of two or more blocks, so that every two pivots share one."""
+    own = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(blocks)).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: j != own)
+    cell = F.explode(F.transform(others, lambda j: F.least(j, own) * blocks + F.greatest(j, own)))
+    return pivots.select(cell.alias("cell"), "key", "hash", "vec")
+
+
+def _meet(sent: DataFrame, least: float, size: int) -> DataFrame:
+    """(key, root, sim): within each cell the closest earlier pivot of every pivot that has one."""
+    key_type = sent.schema["key"].dataType
+
     def meet(table):
         import pyarrow as pa
 
@@ -113,32 +130,41 @@ def _round(pivots: DataFrame, anchors: np.ndarray, least: float, margin: float,
         got = np.nonzero(own != np.arange(len(own)))[0]
         return pa.table([pa.array(k[got], kind), pa.array(k[own[got]], kind), pa.array(sim[got].astype(np.float64))], names=["key", "root", "sim"])
 
-    sent = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("key", key_type), T.StructField("hash", T.LongType()), T.StructField("vec", T.ArrayType(T.FloatType()))])
     edge = T.StructType([T.StructField("key", key_type), T.StructField("root", key_type), T.StructField("sim", T.DoubleType())])
-    return pivots.select("key", "hash", "vec").mapInArrow(send, sent).groupBy("cell").applyInArrow(meet, edge)
+    return sent.groupBy("cell").applyInArrow(meet, edge)
 
 
 def _merge(pivots: DataFrame, least: float, size: int, cell_rows: int, max_anchors: int, margin: float, quiet: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The pivots that remain, and the absorptions of each round."""
-    absorbed, still = [], 0
-    for r in range(most):
+    """The pivots that remain, no two of them similar, and the absorptions of each round.
+
+    ``quiet`` and ``most`` only say when the rounds over anchors give way to those of all pairs.
+    """
+    absorbed, still, r = [], 0, 0
+    while True:
         n = pivots.count()
         a = max(1, min(max_anchors, -(-n // cell_rows)))
-        drawn = pivots.select("vec", F.xxhash64("key", F.lit(r)).alias("o"), "key").orderBy("o", "key").limit(a).select("vec").toArrow()
-        edges = cut(_round(pivots, matrix(drawn.column("vec").combine_chunks(), size), least, margin, size))
-        # local minima: an edge counts only if its earlier pivot is itself absorbed by none
-        gone = edges.select(F.col("key").alias("root")).distinct()
-        firm = edges.join(gone, "root", "left_anti").groupBy("key").agg(F.max(F.struct("sim", "root")).alias("m")).select("key", F.col("m.root").alias("root"))
+        whole = a == 1 or still >= quiet or r >= most  # one anchor has all pivots in its cell
+        if a > 1 and whole:
+            sent = _all_pairs(pivots, max(2, -(-n // (2 * cell_rows))))
+        else:
+            drawn = pivots.select("vec", F.xxhash64("key", F.lit(r)).alias("o"), "key").orderBy("o", "key").limit(a).select("vec").toArrow()
+            sent = _near(pivots, matrix(drawn.column("vec").combine_chunks(), size), margin, size)
+        edges = cut(_meet(sent, least, size))
+        r += 1
         if edges.isEmpty():
+            if whole:
+                return pivots, absorbed
             still += 1
-        else:
+            continue
+        # local minima: an edge counts only if its earlier pivot is itself absorbed by none; the
+        # earliest of all is absorbed by none, so each such round leaves fewer pivots
+        gone = edges.select(F.col("key").alias("root")).distinct()
+        firm = edges.join(gone, "root", "left_anti").groupBy("key").agg(F.max(F.struct("sim", "root")).alias("m")).select("key", F.col("m.root").alias("root"))
+        firm = cut(firm)
+        absorbed.append(firm)
+        pivots = cut(pivots.join(firm.select("key"), "key", "left_anti"))
+        if not whole:
             still = 0
-            firm = cut(firm)
-            absorbed.append(firm)
-            pivots = cut(pivots.join(firm.select("key"), "key", "left_anti"))
-        if (a == 1 and still) or still >= quiet:
-            break
-    return pivots, absorbed
 
 
 def similarity_clusters(
@@ -151,7 +177,8 @@ def similarity_clusters(
     its smallest vector; a record like no other is its own pivot; an empty table gives no rows.
     The result depends on keys and vectors only through hash order and the blocks of the first
     step: where groups are cliques apart from one another it is the same for every partitioning.
-    At most ``max_anchors`` vectors a round are sent to the driver and the tasks.
+    At most ``max_anchors`` vectors a round are sent to the driver and the tasks. The last rounds
+    compare all pivots that are left, so their work grows with the square of that number.
     """
     vecs = one_per_key(df, key, vector, size)
     key_type = vecs.schema["key"].dataType
@@ -183,9 +210,9 @@ def similarity_clusters(
 
     out = cut(held(of, pivots))
     far = out.where(F.col("sim") < least - 1e-5)
-    for _ in range(4):  # members that only a chain led to their pivot meet the pivots again, which come first
-        if far.isEmpty():
-            break
+    # members that only a chain led to their pivot meet the pivots again, which come first and absorb one another no
+    # more; the earliest of these members ends at a pivot like it or as a pivot, so each pass leaves fewer
+    while not far.isEmpty():
         low = F.lit(-(1 << 63)).cast("long")
         both = pivots.select("key", low.alias("hash"), "vec").unionByName(far.select("key", "hash", "vec"))
         left, absorbed = _merge(cut(both), least, size, cell_rows, max_anchors, margin, quiet, most)
