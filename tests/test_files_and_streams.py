@@ -24,6 +24,12 @@ def test_catalog_scan_and_masks(spark, tmp_path):
     image(f"{root}/A/im/x.jpg")
     with pytest.raises(ValueError, match="repeated keys"):
         files.build_catalog(spark, [f"file://{root}"])
+    wide = b"P5\n# two bytes a cell\n2 1\n65535\n\xff\xff\x00\x80"
+    got = files.read_gray(spark.createDataFrame([("w", wide)], "sample_key string, content binary")).first()
+    assert (got.h, got.w) == (1, 2) and got.p == pytest.approx([1, 128 / 65535])
+    for bad in (b"P6 1 1 255\n\x00", b"P5 2 2 255\n\x00", b"P5 2 2 70000\n\x00"):
+        with pytest.raises(Exception, match="b: "):
+            files.read_gray(spark.createDataFrame([("b", bad)], "sample_key string, content binary")).collect()
     gray = files.read_gray(files.scan_images(spark, [f"file://{root}"], content=True)).first()
     assert (gray.h, gray.w) == (2, 2) and gray.p[0] == pytest.approx(128 / 255)
 
@@ -98,3 +104,45 @@ def test_append_bank(spark, tmp_path):
 def test_windowed_means_in_batch(spark):
     df = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 3.0)], "t string, g string, v double").withColumn("t", F.to_timestamp("t"))
     assert series.windowed_means(df, "t", "v", "g").first()["mean"] == 2.0
+
+
+def test_half_written_batch_is_written_again(spark, tmp_path):
+    """What a crash left in the folder for unfinished batches is not taken for a batch of the bank."""
+    bank = tmp_path / "bank"
+    (tmp_path / "bank.writing" / "dead").mkdir(parents=True)
+    (tmp_path / "bank.writing" / "dead" / "part-0.parquet").write_bytes(b"half")
+    s = batches(spark, tmp_path, [[("a", 1)]], "k string, v int")
+    finish(series.append_bank(s, str(bank), str(tmp_path / "c"), "k").start())
+    assert [r.k for r in spark.read.parquet(str(bank)).collect()] == ["a"]
+
+
+def test_stored_tables_need_a_shared_folder(spark, monkeypatch):
+    from thicketry import session
+
+    class Elsewhere:
+        def __init__(self, sc):
+            self._jsc, self.master = self, "spark://there:7077"
+
+        def sc(self):
+            return self
+
+        def conf(self):
+            return self
+
+        def get(self, *_):
+            return ""
+
+        def getCheckpointDir(self):
+            return self
+
+        def isDefined(self):
+            return False
+
+    class Session:
+        sparkContext = Elsewhere(None)
+        conf = sparkContext
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(Session())
+    df = session.store(spark.range(5))
+    assert df.count() == 5 and "tables-" + spark.sparkContext.applicationId in df.inputFiles()[0]

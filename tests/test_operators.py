@@ -112,13 +112,13 @@ def test_nesting_and_difference(spark):
     assert tuple(empty) == (0, 0, "", "")
 
 
-@pytest.mark.parametrize("blocks", [2, 1000])
+@pytest.mark.parametrize("blocks", [80, 1 << 20])
 def test_top_k_against_brute_force(spark, blocks):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 5))
     x[7] = x[3]
     df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "k int, v array<double>")
-    got = {(r.q, r.rank): r.k for r in T.top_k(df.select(F.col("k").alias("q"), "v").where("q < 10"), "q", df.repartition(3), "k", "v", 4, block_rows=blocks).collect()}
+    got = {(r.q, r.rank): r.k for r in T.top_k(df.select(F.col("k").alias("q"), "v").where("q < 10"), "q", df.repartition(3), "k", "v", 4, block_bytes=blocks, step=3).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     for q in range(10):
         s = np.round(u @ u[q], 9)
@@ -227,3 +227,51 @@ def test_resize_and_warp(spark):
     assert maps.resize_bilinear(df, "k", "a", 4, 4, 4, 4).first().a == a.tolist()
     assert maps.resize_bilinear(df, "k", "a", 4, 4, 2, 2).first().a == [2.5, 4.5, 10.5, 12.5]
     assert maps.warp(df, "k", "a", "dy", "dx", 4, 4).first().a[:4] == [0.5, 1.5, 2.5, 3.0]
+
+
+def test_numbering_is_a_permutation_at_any_size(spark):
+    """A million rows in many ranges, with a payload and repeated orders, adaptive plans on."""
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        df = spark.range(1_000_000, numPartitions=9).select("id", F.expr("pmod(xxhash64(id), 5000)").alias("o"), F.expr("repeat('x', 20)").alias("payload"))
+        n = R.numbered(df, "o", "id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("d"), F.min("position").alias("a"), F.max("position").alias("b")).first()
+        assert tuple(n) == (1_000_000, 1_000_000, 0, 999_999)
+        got = R.numbered(df, "o", "id").where("position % 100000 = 7").orderBy("position").select("o", "id").collect()
+        want = sorted((r.o, r.id) for r in df.select("o", "id").collect())[7::100000]
+        assert [tuple(r) for r in got] == want
+        scored = df.select("id", (F.col("o") % 1000).cast("double").alias("s"), (F.pmod(F.hash("id"), F.lit(10)) < 3 + (F.col("o") % 1000) / 500).alias("y"))
+        auc = metrics.binary_auc(scored, "s", F.col("y"), "id").first().auc
+        t = scored.toPandas().sort_values(["s", "id"])
+        rank = np.arange(1, len(t) + 1)[t["y"].to_numpy()]
+        p = len(rank)
+        assert auc == pytest.approx((rank.sum() - p * (p + 1) / 2) / (p * (len(t) - p)), abs=1e-12)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    x = [("a", float(v)) for v in rng.normal(size=999).round(2)] + [("b", 1.0), ("c", None)]
+    got = {r.g: r for r in metrics.distribution(frame(spark, x, "g string, v double").repartition(5), "v", ["g"], (0.0, 0.3, 0.9, 1.0)).collect()}
+    a = np.array([v for g, v in x if g == "a"])
+    assert [got["a"][q] for q in ("q0000", "q0300", "q0900", "q1000")] == pytest.approx(np.quantile(a, [0, 0.3, 0.9, 1]).tolist()) and got["b"].q0300 == 1.0 and set(got) == {"a", "b"}
+    one = metrics.distribution(frame(spark, x, "g string, v double"), "v", None, (0.5,)).first()
+    assert one.n == 1000 and one.q0500 == pytest.approx(np.quantile([*a, 1.0], 0.5))
+
+
+def test_contrastive_loss_and_its_positive(spark):
+    x = np.random.default_rng(6).normal(size=(20, 4))
+    bank = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "k int, v array<double>")
+    q = bank.where("k < 5").select((F.col("k") + 100).alias("q"), F.col("k").alias("i"), "v")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for block in (64, 1 << 20):
+        got = {r.q: r.loss for r in T.contrastive_loss(q, "q", "i", bank.repartition(3), "k", "v", 0.1, block_bytes=block).collect()}
+        want = {100 + i: float(np.log(np.exp(u @ u[i] / 0.1).sum()) - 10) for i in range(5)}
+        assert got == pytest.approx(want)
+    for bad in (bank.where("k <> 3"), bank.unionByName(bank.where("k = 3"))):
+        with pytest.raises(Exception, match="not one row"):
+            T.positive_rows(q, "q", "i", bad, "k").collect()
+
+
+def test_center_order():
+    assert clusters.center_order([[2.0, 0.0], [1.0, 5.0], [2.0, 0.0], [0.0, 0.0]])[:1] == [3] and sorted(clusters.center_order([[1.0], [1.0]])) == [0, 1]

@@ -34,15 +34,21 @@ def value_fingerprint(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
-def key_fingerprint(df: DataFrame, key: str, prefix: int = 2) -> DataFrame:
-    """One row (n_keys, fingerprint) over the distinct keys, in two steps.
+def key_fingerprint(df: DataFrame, key: str, levels: tuple[int, ...] = (5, 2, 0)) -> DataFrame:
+    """One row (n_keys, fingerprint) over the distinct keys, by a tree of digests.
 
-    Keys are put into 16 ** ``prefix`` buckets by their md5; each bucket is hashed in key order, and
-    the sorted bucket digests are hashed. No task holds more than one bucket.
+    Keys meet in leaves by the first five hexadecimal digits of their md5, leaves by the first two,
+    and those at the root; a node is the sha256 of what it holds, in order. The recipe is the same
+    at every size, and at 10^10 keys a leaf holds some 10,000 of them, a node 4,096 leaves.
     """
     keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()
-    bucket = keys.groupBy(F.substring(F.md5("k"), 1, prefix).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("k")), "\n"), 256).alias("d"))
-    return bucket.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_keys"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: F.concat(s["b"], F.lit(":"), s["d"])), "\n"), 256).alias("fingerprint"))
+    of = lambda c, n: F.substring(c, 1, n) if n else F.lit("")
+    out = keys.groupBy(of(F.md5("k"), levels[0]).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("k")), "\n"), 256).alias("d"))
+    for n in levels[1:]:
+        held = F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: F.concat(s["b"], F.lit(":"), s["d"]))
+        out = out.groupBy(of(F.col("b"), n).alias("b")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(held, "\n"), 256).alias("d"))
+    none = F.sha2(F.lit(""), 256)  # of no keys at all
+    return out.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_keys"), F.coalesce(F.max("d"), none).alias("fingerprint"))
 
 
 def ordered_fingerprint(df: DataFrame, key: str, name: str = "sample_keys") -> str:
@@ -59,3 +65,17 @@ def ordered_fingerprint(df: DataFrame, key: str, name: str = "sample_keys") -> s
 def content_fingerprint(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, size, sha256) of binary rows, for a chained or bucketed fingerprint."""
     return files.select(key, F.length(content).alias("size"), F.sha2(F.col(content), 256).alias("sha256"))
+
+
+def chained_fingerprint(df: DataFrame, order: str, columns: list[str]) -> str:
+    """sha256 over one line a row in the order of a unique key, its columns joined by tabs; partitions are streamed, not collected."""
+    h = hashlib.sha256()
+    line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    for (x,) in df.select(order, line.alias("_l")).orderBy(order).select("_l").toLocalIterator(prefetchPartitions=True):
+        h.update(x.encode() + b"\n")
+    return h.hexdigest()
+
+
+def content_chain(files: DataFrame, key: str = "sample_key", content: str = "content") -> str:
+    """Digest of the contents of all files in key order: of lines of key, size and sha256."""
+    return chained_fingerprint(content_fingerprint(files, key, content), key, [key, "size", "sha256"])

@@ -97,3 +97,73 @@ def support_weight(target: Column | str, hard: Column | str) -> Column:
 
 def class_nll(p: Column | str, eps: float = EPS) -> Column:
     return -F.log(F.greatest(col(p), F.lit(eps)))
+
+
+def smooth_l1(x: Column | str) -> Column:
+    return F.when(F.abs(col(x)) < 1, 0.5 * col(x) * col(x)).otherwise(F.abs(col(x)) - 0.5)
+
+
+def oracle_divergence(target: Column | str, weights: Column | str, eps: float = EPS) -> Column:
+    """Divergence of the oracle's weights from those used."""
+    low = lambda x: F.log(F.greatest(x, F.lit(eps)))
+    return F.aggregate(F.zip_with(col(target), col(weights), lambda t, w: t * (low(t) - low(w))), F.lit(0.0), lambda s, x: s + x)
+
+
+def support_targets(query_region: Column | str, region: Column | str) -> dict[str, Column]:
+    """What a candidate's region says of a query's: the same side, the same region, and the hard ones.
+
+    Regions 0 and 1 are foreground, 2 and 3 background; 1 and 2 meet at the boundary. False where
+    the candidate's region is unknown.
+    """
+    q, c = col(query_region), col(region)
+    known = F.coalesce(c.between(0, 3), F.lit(False))
+    semantic, detail = known & ((q < 2) == (c < 2)), known & (q == c)
+    across = known & (((q == 1) & (c == 2)) | ((q == 2) & (c == 1)))
+    return {"semantic": semantic, "detail": detail, "semantic_hard": across, "detail_hard": semantic & ~detail}
+
+
+def geometry_support(query: Column, child: Column, parent: Column) -> Column:
+    """Eight features of three geometries (sdf, nx, ny, ox, oy, reliability) as an array.
+
+    Negated distance, cosine of the normals, negated offset error, and the cube root of the product
+    of the reliabilities, of query and child; the first three of parent and child; the parent's
+    reliability.
+    """
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+    def pair(a, b):
+        cos = (a[1] * b[1] + a[2] * b[2]) / (F.greatest(F.hypot(a[1], a[2]), F.lit(EPS)) * F.greatest(F.hypot(b[1], b[2]), F.lit(EPS)))
+        return -F.abs(a[0] - b[0]), cos, -(F.abs(a[3] - b[3]) + F.abs(a[4] - b[4])) / 2
+
+    trust = F.cbrt(unit(query[5]) * unit(child[5]) * unit(parent[5]))
+    return F.array(*pair(query, child), trust, *pair(parent, child), unit(parent[5]))
+
+
+def decoder_confidence(final, main, contradiction, weights, route_entropy) -> Column:
+    """Decidedness, agreement of final and main value, no contradiction, sure mixture of four branches, sure route: their product."""
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    p = unit(col(final))
+    w = F.transform(col(weights), lambda x: F.greatest(x, F.lit(EPS)))
+    mixed = -F.aggregate(F.transform(w, lambda x: x * F.log(x)), F.lit(0.0), lambda s, x: s + x) / F.log(F.lit(4.0))
+    return unit(2 * F.abs(p - 0.5)) * unit(1 - F.abs(p - col(main))) * (1 - unit(col(contradiction))) * (1 - unit(mixed)) * unit(1 - col(route_entropy))
+
+
+def coverage_weight(coverage: Column | str, epoch: Column | str, target: float = 0.2, epochs: int = 3, weight: float = 2.0) -> Column:
+    """Weight of the loss on hard targets: grows with their share up to ``target``, and over the first ``epochs``."""
+    return weight * F.least(F.lit(1.0), col(epoch) / float(epochs)) * F.least(F.lit(1.0), col(coverage) / target)
+
+
+def stage_mode(epoch: Column | str, parents: int = 6, full: int = 11) -> Column:
+    return F.when(col(epoch) < parents, "off").when(col(epoch) < full, "parent_only").otherwise("full")
+
+
+def injection_strength(epoch: Column | str, full: int = 11, epochs: int = 3) -> Column:
+    """1/3, 2/3, 1 over the first epochs of the full mode; 1 where no epoch is given."""
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (col(epoch) - full + 1) / float(max(1, epochs)))), F.lit(1.0))
+
+
+def parent_values(region: Column | str, sdf: Column | str, reliability: Column | str) -> Column:
+    """The eight values of a parent row: one-hot region, foreground, background, distance, reliability. Regions 0 and 2 are foreground."""
+    r = col(region)
+    hot = [(r == i).cast("double") for i in range(4)]
+    return F.array(*hot, hot[0] + hot[2], hot[1] + hot[3], col(sdf).cast("double"), col(reliability).cast("double"))

@@ -191,3 +191,12 @@ def scale_index(i: Column | str, h: int, w: int, to_h: int, to_w: int) -> Column
     """The cell of another resolution that a flat index falls into."""
     i = col(i)
     return (F.floor(F.floor(i / w) * to_h / h) * to_w + F.floor(F.pmod(i, F.lit(w)) * to_w / w)).cast("int")
+
+
+def to_grid(a: Column | str, h: int, w: int) -> Column:
+    """A row-major array as an array of rows."""
+    return F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda y: F.slice(col(a), y * w + 1, F.lit(w)))
+
+
+def from_grid(rows: Column | str) -> Column:
+    return F.flatten(col(rows))

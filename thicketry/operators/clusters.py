@@ -57,16 +57,44 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, seed: int, normalize: b
     return centres, rows.withColumn("dist", F.sqrt(squared_distance("_x", own)))
 
 
+def center_order(centres: list) -> list[int]:
+    """The places of the centres in the order of their raw bytes as 64-bit floats, ties by place."""
+    import numpy as np
+
+    return sorted(range(len(centres)), key=lambda i: (np.asarray(centres[i], np.float64).tobytes(), i))
+
+
 def unique_representatives(rows: DataFrame, centres: list, key: str, vector: str) -> DataFrame:
     """(cluster, key): the row nearest to each centre, no row twice; later centres take their next nearest.
 
-    Each centre keeps its ``len(centres)`` nearest rows, which is enough; they meet in one task.
+    A task compares its rows with all centres by matrix products and keeps the ``len(centres)``
+    nearest of each, which is enough; these, the square of the number of centres a task at most, are
+    merged by rank before they meet.
     """
+    import numpy as np
     from pyspark.sql import Window
 
     k = len(centres)
-    c = rows.sparkSession.createDataFrame([(i, v) for i, v in enumerate(centres)], "cluster int, centre array<double>")
-    near = rows.select(key, "_x").join(F.broadcast(c)).select("cluster", key, F.round(F.sqrt(squared_distance("_x", "centre")), 9).alias("d"))
+    shared = rows.sparkSession.sparkContext.broadcast(np.asarray(centres, np.float64))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def part(batches):
+        import pandas as pd
+
+        c = shared.value
+        best = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["_x"].to_numpy()).astype(np.float64)
+            d = np.round(np.sqrt(np.maximum(0, (c * c).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * c @ x.T)), 9)
+            own = pd.DataFrame({"cluster": np.repeat(np.arange(k), len(x)), key: np.tile(pdf[key].to_numpy(), k), "d": d.ravel()})
+            best = own if best is None else pd.concat([best, own])
+            best = best.sort_values(["cluster", "d", key]).groupby("cluster").head(k)
+        if best is not None:
+            yield best.astype({"cluster": "int32"})
+
+    near = rows.select(key, "_x").mapInPandas(part, f"cluster int, {key} {kind}, d double")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("d", key))).where(F.col("r") <= k)
 
     def pick(pdf):
@@ -80,4 +108,4 @@ def unique_representatives(rows: DataFrame, centres: list, key: str, vector: str
                 out.append((i, mine))
         return pd.DataFrame(out, columns=["cluster", key])
 
-    return near.groupBy(F.lit(0).alias("all")).applyInPandas(pick, f"cluster int, {key} {rows.schema[key].dataType.simpleString()}")
+    return near.groupBy(F.lit(0).alias("all")).applyInPandas(pick, f"cluster int, {key} {kind}")

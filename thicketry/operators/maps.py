@@ -115,6 +115,31 @@ def signed_distance(maps: DataFrame, key: str, mask: str, h: int, w: int) -> Dat
     return maps.select(key, mask).mapInPandas(run, f"{key} {maps.schema[key].dataType.simpleString()}, sdf array<double>")
 
 
+def mask_geometry(maps: DataFrame, key: str, mask: str, h: int, w: int, scale: float) -> DataFrame:
+    """(key, sdf, nx, ny, ox, oy, reliability) of each mask, as arrays, an Arrow batch at a time.
+
+    The distance is over the longer side and within -1 and 1; normals are its central differences
+    (one-sided at the border) made unit; an offset leads to the edge; reliability falls by ``scale``.
+    """
+    names = ("sdf", "nx", "ny", "ox", "oy", "reliability")
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for k, m in zip(pdf[key], pdf[mask]):
+                g = np.asarray(m, float).reshape(h, w) > 0
+                inside, outside = distance_to(~g)[0], distance_to(g)[0]
+                f = np.clip(np.nan_to_num(np.where(g, inside, -outside), posinf=h + w, neginf=-(h + w)) / max(h, w), -1, 1)
+                dy, dx = np.gradient(f)
+                n = np.sqrt(dx * dx + dy * dy + 1e-6)
+                rows.append((k, *(x.ravel().tolist() for x in (f, dx / n, dy / n, -f * dx / n, -f * dy / n, np.exp(-np.abs(f) / scale)))))
+            yield pd.DataFrame(rows, columns=[key, *names])
+
+    return maps.select(key, mask).mapInPandas(run, f"{key} {maps.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} array<double>" for n in names))
+
+
 def total_variation(a: Column | str, h: int, w: int) -> Column:
     """Mean absolute value plus mean differences to the next cell."""
     n = float(h * w)

@@ -14,12 +14,29 @@ EPS = 1e-12
 def distribution(df: DataFrame, value: str, group: list[str] | None = None, points: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)) -> DataFrame:
     """Count, mean, population deviation, extremes, share of zeros, and linearly interpolated quantiles.
 
-    Quantiles are exact, by Spark's counting percentile, which merges map-side counts of values.
+    Quantiles are exact: values are numbered over ranges, so a group however large is never in one
+    task or buffer, and only the two values beside each quantile are picked by their place. Null
+    values are left out; a group with none gives no row.
     """
-    v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(*(F.lit(p) for p in points))).alias("_q")
-    out = df.groupBy(*(group or [])).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg((v == 0).cast("double")).alias("zero_share"), q)
-    return out.select(*(group or []), "n", "mean", "std", "min", "max", "zero_share", *(F.col("_q")[i].alias(f"q{int(round(p * 1000)):04d}") for i, p in enumerate(points)))
+    from thicketry.operators.relations import numbered
+
+    group = group or []
+    rows = df.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    placed = numbered(rows, *group, "_v")
+    v = F.col("_v")
+    sums = placed.groupBy(*group).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg((v == 0).cast("double")).alias("zero_share"), F.min("position").alias("_first"),
+    )
+    at = [F.lit(p) * (F.col("n") - 1) for p in points]
+    edges = sums.select(*group, "n", "_first", *(F.floor(x).alias(f"_l{i}") for i, x in enumerate(at)), *(F.ceil(x).alias(f"_h{i}") for i, x in enumerate(at)))
+    near = placed.join(edges, group) if group else placed.crossJoin(F.broadcast(edges))  # one row where there is one group
+    near = near.withColumn("_r", F.col("position") - F.col("_first"))
+    near = near.where(F.col("_r").isin(*(F.col(f"_{e}{i}") for e in "lh" for i in range(len(points)))))
+    pick = [F.max(F.when(F.col("_r") == F.col(f"_{e}{i}"), v)).alias(f"_{e}{i}") for e in "lh" for i in range(len(points))]
+    near = near.groupBy(*group).agg(*pick)
+    out = sums.join(near, group) if group else sums.crossJoin(F.broadcast(near))
+    lean = lambda i, x: F.col(f"_l{i}") + (x - F.floor(x)) * (F.col(f"_h{i}") - F.col(f"_l{i}"))
+    return out.select(*group, "n", "mean", "std", "min", "max", "zero_share", *(lean(i, x).alias(f"q{int(round(p * 1000)):04d}") for i, (p, x) in enumerate(zip(points, at))))
 
 
 def pairwise_cosine_moments(df: DataFrame, vector: str, size: int) -> DataFrame:
@@ -51,8 +68,7 @@ def pairwise_cosine_moments(df: DataFrame, vector: str, size: int) -> DataFrame:
 def binary_auc(df: DataFrame, score: str, positive: Column, tie: str) -> DataFrame:
     """(auc, n_positive, n_negative) by the rank sum; ties go by ``tie``; 0.5 if a class is empty.
 
-    Ranks come from counts: for every distinct (score, tie) the negatives before it, summed over
-    range partitions, so no task ranks the whole table.
+    Ranks are numbers over ranges, so no task ranks the whole table.
     """
     from thicketry.operators.relations import numbered
 

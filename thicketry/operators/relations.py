@@ -73,13 +73,19 @@ def cyclic_zip(drive: DataFrame, drive_key: str, cycle: DataFrame, cycle_key: st
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Adds ``position`` from 0 in the given order: range partitions, numbered one by one, shifted by the counts before them."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("_m", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_m", 33)).withColumn("_row", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    """Adds ``position`` from 0 in the given order; rows equal in all of it stand in any order, once.
+
+    Rows are ranged and sorted, numbered within their range, and written once with the number of
+    the range, so that the counts before each range and the rows come from the same ranges however
+    often they are read. Null comes first. The counts, one row a range, are all that is broadcast.
+    """
+    from thicketry.session import store
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    ranged = store(ranged.withColumn("_part", F.shiftright("_m", 33)).withColumn("_row", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m"))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     before = counts.withColumn("_before", F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).select("_part", "_before")
-    return ranged.join(F.broadcast(before), "_part").withColumn("position", F.col("_before") + F.col("_row")).drop("_m", "_part", "_row", "_before")
+    return ranged.join(F.broadcast(before), "_part").withColumn("position", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
 
 
 def difference(a: DataFrame, b: DataFrame, key: str, preview: int = 3) -> DataFrame:

@@ -32,13 +32,15 @@ def round_robin(df: DataFrame, key: str, cluster: str, dist: str, seed: str) ->
     """Adds ``step``: clusters take turns in the order of their nearest member's key, seeds left out.
 
     A cluster's place is named by its nearest member of all, seeds included; within a cluster rows
-    go by distance, then key. The overall order is numbered by range partitions, not in one task.
+    go by distance, then key. Turns and steps are numbers over ranges: neither a cluster nor the
+    whole is ranked in one task.
     """
     from thicketry.operators.relations import numbered
 
-    within = Window.partitionBy(cluster).orderBy(dist, key)
-    named = df.withColumn("_who", F.first(key).over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rest = named.where(~F.col(seed)).withColumn("_turn", F.row_number().over(within))
+    named = df.groupBy(cluster).agg(F.min_by(key, F.struct(dist, key)).alias("_who"))
+    rest = numbered(df.where(~F.col(seed)), cluster, dist, key)
+    first = rest.groupBy(cluster).agg(F.min("position").alias("_first"))
+    rest = rest.join(named, cluster).join(first, cluster).withColumn("_turn", F.col("position") - F.col("_first")).drop("position", "_first")
     out = numbered(rest, "_turn", "_who").withColumn("step", (F.col("position") + 1).cast("int"))
     return out.drop("_who", "_turn", seed, "position")
 
@@ -196,17 +198,18 @@ def nested_selection(df: DataFrame, run: list[str], key: str, cluster: str, vect
 
 
 def remainder_quotas(sizes: dict, budget: int) -> dict:
-    """The rule of ``largest_remainder`` for a handful of clusters in one task."""
-    w = sum(n**0.5 for n in sizes.values())
-    if not w or budget <= 0:
-        return {k: 0 for k in sizes}
-    raw = {k: budget * n**0.5 / w for k, n in sizes.items()}
-    q = {k: min(n, int(raw[k])) for k, n in sizes.items()}
-    todo = min(budget, sum(sizes.values())) - sum(q.values())
-    by_rest = sorted(sizes, key=lambda k: (-round(raw[k] - int(raw[k]), 12), k))
-    while todo > 0:
-        for k in by_rest:
-            if todo and q[k] < sizes[k]:
-                q[k] += 1
-                todo -= 1
-    return q
+    """The rule of ``largest_remainder`` for a handful of clusters in one task.
+
+    A cluster's t-th unit beyond its whole share ranks by (t, remainder, name); the first ``todo``
+    units of that ranking are given.
+    """
+    total = sum(map(float.__pow__, map(float, sizes.values()), (0.5,) * len(sizes)))
+    if not total or budget <= 0:
+        return dict.fromkeys(sizes, 0)
+    share = {k: budget * n**0.5 / total for k, n in sizes.items()}
+    quota = {k: min(n, int(share[k])) for k, n in sizes.items()}
+    todo = max(0, min(budget, sum(sizes.values())) - sum(quota.values()))
+    units = [(t, -round(share[k] - int(share[k]), 12), k) for k, n in sizes.items() for t in range(1, min(n - quota[k], todo) + 1)]
+    for _, _, k in sorted(units)[:todo]:
+        quota[k] += 1
+    return quota

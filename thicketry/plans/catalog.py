@@ -102,25 +102,24 @@ def running_subset_counts(s, d):
     return R.running_counts(a, ["run_id"], F.struct("step_no", "sample_key"), "subset_name")
 
 
-@query(
-    "catalog_fingerprint",
-    """WITH k AS (SELECT DISTINCT sample_key k FROM image_catalog WHERE sample_key IS NOT NULL), b AS (SELECT substr(md5(k),1,2) b, count(*) n, sha256(string_agg(k, chr(10) ORDER BY k)) d FROM k GROUP BY 1)
-    SELECT sum(n)::BIGINT AS n_keys, sha256(string_agg(b||':'||d, chr(10) ORDER BY b)) AS fingerprint FROM b""",
-)
+_TREE = """WITH k AS (SELECT DISTINCT sample_key k FROM image_catalog WHERE sample_key IS NOT NULL), a AS (SELECT substr(md5(k),1,5) b, count(*) n, sha256(string_agg(k, chr(10) ORDER BY k)) d FROM k GROUP BY 1),
+    c AS (SELECT substr(b,1,2) b, sum(n) n, sha256(string_agg(b||':'||d, chr(10) ORDER BY b)) d FROM a GROUP BY 1) SELECT sum(n)::BIGINT AS n_keys, sha256(string_agg(b||':'||d, chr(10) ORDER BY b)) AS fingerprint FROM c"""
+
+
+@query("catalog_fingerprint", _TREE)
 def catalog_fingerprint(s, d):
     return fingerprints.key_fingerprint(table(s, d, "image_catalog"), "sample_key")
 
 
+_ESCAPED = r"""replace(replace(sample_key, '\', '\\'), '"', '\"')"""
+
+
 @query(
     "split_fingerprints",
-    f"""WITH l AS ({_LISTS}) SELECT run_id, split_level, count(*) AS n_keys, sha256('{{"sample_keys":["'||string_agg(sample_key, '","' ORDER BY sample_key)||'"]}}') AS fingerprint FROM l WHERE sample_key NOT LIKE '%\\%' AND sample_key NOT LIKE '%"%' GROUP BY 1,2""",
+    f"""WITH l AS ({_LISTS}) SELECT run_id, split_level, count(*) AS n_keys, sha256('{{"sample_keys":["'||string_agg({_ESCAPED}, '","' ORDER BY sample_key)||'"]}}') AS fingerprint FROM l WHERE sample_key IS NOT NULL GROUP BY 1,2""",
 )
 def split_fingerprints(s, d):
-    """All keys of each list, in order, with backslash and double quote escaped by a backslash.
-
-    A list of a run is bounded by its budget, so one row may hold it. The SQL escapes nothing and
-    leaves out the keys that would need it: it says the same only of lists without such keys.
-    """
+    """All keys of each list, in order, with backslash and double quote escaped; a list of a run is bounded by its budget, so one row may hold it."""
     rows = table(s, d, "split_rows").where(KEYED).select("run_id", "split_level", "sample_key").distinct()
     escaped = F.transform(F.array_sort(F.collect_list("sample_key")), lambda k: F.replace(F.replace(k, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')))
     text = F.concat(F.lit('{"sample_keys":["'), F.array_join(escaped, '","'), F.lit('"]}'))

@@ -90,13 +90,19 @@ def lead_differences(s, d):
     return M.lead_difference(x, "vec_id", "y", "x", "p").select("vec_id", "y", "x", (F.round("dx", 6) + 0.0).alias("dx"), (F.round("dy", 6) + 0.0).alias("dy"))
 
 
+_CELLS = "(SELECT unnest(range(64)) i)"
 _BOX = "list_sum(list_transform(range(64), lambda j: CASE WHEN abs(j//8-i//8)<=2 AND abs(j%8-i%8)<=2 THEN p[j+1] ELSE 0 END))/25.0"
 
 
-@query("box_average", f"{_MAPS}, b AS (SELECT vec_id, list_transform(range(64), lambda i: {_BOX}) AS a FROM g) SELECT vec_id, round(a[1],6) AS corner, round(a[28],6) AS inner_cell, round(list_sum(a),5) AS total FROM b")
+def _exploded(df, digits=6, **arrays):
+    """(vec_id, cell, one value an array), rounded, of whole arrays of equal length."""
+    x = df.select("vec_id", F.posexplode(F.arrays_zip(*(a.alias(n) for n, a in arrays.items()))).alias("cell", "c"))
+    return x.select("vec_id", "cell", *((F.round(F.col(f"c.{n}"), digits) + 0.0).alias(n) for n in arrays))
+
+
+@query("box_average", f"{_MAPS} SELECT vec_id, i::INT AS cell, round({_BOX},6)+0.0 AS mean FROM g, {_CELLS}")
 def box_average(s, d):
-    b = _maps(s, d).select("vec_id", V.box_average("p", H, W, 2).alias("a"))
-    return b.select("vec_id", F.round(F.col("a")[0], 6).alias("corner"), F.round(F.col("a")[27], 6).alias("inner_cell"), F.round(V.total("a"), 5).alias("total"))
+    return _exploded(_maps(s, d), mean=V.box_average("p", H, W, 2))
 
 
 @query("boundary_prototype", f"{_PIX}, w AS (SELECT vec_id%20 AS grp, vec_id, abs(p-v) AS wt FROM x WHERE cell=0), u AS (SELECT vec_id, generate_subscripts(embedding,1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings), l AS (SELECT vec_id, sqrt(sum(e*e)) n FROM u GROUP BY 1), t AS (SELECT grp, pos, sum(wt*e/n) sm, sum(wt) ms FROM w JOIN u USING (vec_id) JOIN l USING (vec_id) GROUP BY 1,2), n AS (SELECT grp, sqrt(sum(sm*sm)) n, max(ms)>1e-6 AS ok FROM t GROUP BY 1) SELECT grp, (pos-1)::INT AS pos, round(CASE WHEN ok THEN sm/n ELSE 0 END,6)+0.0 AS value, ok AS valid FROM t JOIN n USING (grp)")
@@ -122,28 +128,59 @@ def scatter_cells(s, d):
     return out.select("vec_id", "cell", F.round("mean", 6).alias("mean"), F.round("add", 6).alias("total"), F.round("replace", 6).alias("last"))
 
 
-@query("resized_maps", f"{_MAPS}, a AS (SELECT vec_id, list_transform(range(16), lambda i: (p[(i//4)*16+(i%4)*2+1]+p[(i//4)*16+(i%4)*2+2]+p[(i//4)*16+(i%4)*2+9]+p[(i//4)*16+(i%4)*2+10])/4) AS area, list_transform(range(256), lambda i: p[(i//32)*8+(i%16)//2+1]) AS near FROM g) SELECT vec_id, round(area[6],6) AS area5, round(near[100],6) AS near99, round(list_sum(area),5) AS total FROM a")
+@query("resized_maps", f"{_MAPS} SELECT vec_id, i::INT AS cell, round((p[(i//4)*16+(i%4)*2+1]+p[(i//4)*16+(i%4)*2+2]+p[(i//4)*16+(i%4)*2+9]+p[(i//4)*16+(i%4)*2+10])/4,6)+0.0 AS value, 'area' AS how FROM g, (SELECT unnest(range(16)) i) UNION ALL SELECT vec_id, i::INT, round(p[(i//32)*8+(i%16)//2+1],6)+0.0, 'nearest' FROM g, (SELECT unnest(range(256)) i)")
 def resized_maps(s, d):
-    a = _maps(s, d).select("vec_id", V.resize_area("p", H, W, 2, 2).alias("area"), V.resize_nearest("p", H, W, 16, 16).alias("near"))
-    return a.select("vec_id", F.round(F.col("area")[5], 6).alias("area5"), F.round(F.col("near")[99], 6).alias("near99"), F.round(V.total("area"), 5).alias("total"))
+    m = _maps(s, d)
+    area, near = (_exploded(m, value=x).withColumn("how", F.lit(n)) for n, x in (("area", V.resize_area("p", H, W, 2, 2)), ("nearest", V.resize_nearest("p", H, W, 16, 16))))
+    return area.unionByName(near)
+
+
+@query("resized_bilinear", f"{_MAPS}, a AS (SELECT i, greatest(0,least(7,(i//16+0.5)/2-0.5)) AS y, greatest(0,least(7,(i%16+0.5)/2-0.5)) AS x FROM (SELECT unnest(range(256)) i)), k AS (SELECT i, floor(y)::INT y0, least(7,floor(y)+1)::INT y1, y-floor(y) fy, floor(x)::INT x0, least(7,floor(x)+1)::INT x1, x-floor(x) fx FROM a) SELECT vec_id, i::INT AS cell, round((1-fy)*((1-fx)*p[y0*8+x0+1]+fx*p[y0*8+x1+1])+fy*((1-fx)*p[y1*8+x0+1]+fx*p[y1*8+x1+1]),6)+0.0 AS value FROM g, k")
+def resized_bilinear(s, d):
+    return _exploded(M.resize_bilinear(_maps(s, d), "vec_id", "p", H, W, 16, 16), value=F.col("p"))
 
 
-@query("map_geometry", f"{_PIX}, f AS (SELECT vec_id, cell, p, coalesce(lead(p) OVER (PARTITION BY vec_id, y ORDER BY x)-p,0) dx, coalesce(lead(p) OVER (PARTITION BY vec_id, x ORDER BY y)-p,0) dy FROM x), n AS (SELECT *, greatest(sqrt(dx*dx+dy*dy),1e-6) AS l FROM f) SELECT vec_id, round(sum(2*p-1),5)+0.0 AS sdf, round(sum(dx/l),5)+0.0 AS nx, round(sum(dy/l),5)+0.0 AS ny, round(sum(abs(2*p-1)),5) AS reliability FROM n GROUP BY 1")
+@query("map_geometry", f"{_PIX}, f AS (SELECT vec_id, cell, p, coalesce(lead(p) OVER (PARTITION BY vec_id, y ORDER BY x)-p,0) dx, coalesce(lead(p) OVER (PARTITION BY vec_id, x ORDER BY y)-p,0) dy FROM x), n AS (SELECT *, greatest(sqrt(dx*dx+dy*dy),1e-6) AS l FROM f) SELECT vec_id, cell, round(2*p-1,6)+0.0 AS sdf, round(dx/l,6)+0.0 AS nx, round(dy/l,6)+0.0 AS ny, round((1-2*p)/2,6)+0.0 AS \"offset\", round(abs(2*p-1),6)+0.0 AS reliability FROM n")
 def map_geometry(s, d):
-    g = M.geometry("p", H, W)
-    return _maps(s, d).select("vec_id", *((F.round(V.total(g[c]), 5) + 0.0).alias(c) for c in ("sdf", "nx", "ny")), F.round(V.total(g["reliability"]), 5).alias("reliability"))
+    return _exploded(_maps(s, d), **M.geometry("p", H, W))
 
 
 _WB = "(1+5*abs(wb-g))"
 
 
-@query("structure_loss", f"{_MAPS}, k AS (SELECT vec_id, p, list_transform(v, lambda x: CASE WHEN x>0.5 THEN 1.0 ELSE 0.0 END) AS t FROM g), b AS (SELECT vec_id, unnest(list_transform(range(64), lambda i: {{'p': greatest(1e-6,least(1-1e-6,p[i+1])), 'g': t[i+1], 'wb': list_sum(list_transform(range(64), lambda j: CASE WHEN abs(j//8-i//8)<=2 AND abs(j%8-i%8)<=2 THEN t[j+1] ELSE 0 END))/25.0}})) AS c FROM k), e AS (SELECT vec_id, c.p AS p, c.g AS g, c.wb AS wb FROM b), s AS (SELECT vec_id, sum({_WB}*-(g*ln(p)+(1-g)*ln(1-p)))/sum({_WB}) AS wbce, sum({_WB}*p*g) AS inter, sum({_WB}*(p+g)) AS uni FROM e GROUP BY 1) SELECT vec_id, round(wbce+1-(inter+1)/(uni-inter+1),6) AS loss FROM s")
+@query("structure_loss", f"{_MAPS}, k AS (SELECT vec_id, p, list_transform(v, lambda x: CASE WHEN x>0.5 THEN 1.0 ELSE 0.0 END) AS t FROM g), b AS (SELECT vec_id, unnest(list_transform(range(64), lambda i: {{'p': greatest(1e-6,least(1-1e-6,p[i+1])), 'g': t[i+1], 'wb': list_sum(list_transform(range(64), lambda j: CASE WHEN abs(j//8-i//8)<=15 AND abs(j%8-i%8)<=15 THEN t[j+1] ELSE 0 END))/961.0}})) AS c FROM k), e AS (SELECT vec_id, c.p AS p, c.g AS g, c.wb AS wb FROM b), s AS (SELECT vec_id, sum({_WB}*-(g*ln(p)+(1-g)*ln(1-p)))/sum({_WB}) AS wbce, sum({_WB}*p*g) AS inter, sum({_WB}*(p+g)) AS uni FROM e GROUP BY 1) SELECT vec_id, round(wbce+1-(inter+1)/(uni-inter+1),6) AS loss FROM s")
 def structure_loss(s, d):
     m = _maps(s, d).withColumn("g", F.transform("view", lambda x: F.when(x > 0.5, 1.0).otherwise(0.0)))
-    return m.select("vec_id", F.round(M.structure_loss("p", "g", H, W, 2), 6).alias("loss"))
+    return m.select("vec_id", F.round(M.structure_loss("p", "g", H, W), 6).alias("loss"))
 
 
-@query("signed_distances")
+_SDF = f"{_PIX}, o AS (SELECT a.vec_id, a.cell, a.y, a.x, a.m, min(sqrt((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x))) AS d FROM x a LEFT JOIN x b ON b.vec_id=a.vec_id AND b.m<>a.m GROUP BY 1,2,3,4,5), sd AS (SELECT vec_id, cell, y, x, CASE WHEN m=1 THEN coalesce(d,16) ELSE -coalesce(d,16) END AS sdf FROM o)"
+
+
+@query("signed_distances", f"{_SDF} SELECT vec_id, cell, round(sdf,6)+0.0 AS sdf FROM sd")
 def signed_distances(s, d):
     m = _maps(s, d).select("vec_id", F.transform("p", lambda x: (x > 0.5).cast("int")).alias("m"))
-    return M.signed_distance(m, "vec_id", "m", H, W).select("vec_id", F.round(F.array_max("sdf"), 6).alias("deepest"), F.round(V.total("sdf"), 6).alias("total"))
+    return _exploded(M.signed_distance(m, "vec_id", "m", H, W), sdf=F.col("sdf"))
+
+
+_SCALED = "greatest(-1,least(1,sdf/8.0))"
+_DIFF = "(coalesce(lead({c}) OVER ({w}),{c})-coalesce(lag({c}) OVER ({w}),{c}))/CASE WHEN {k} IN (0,7) THEN 1 ELSE 2 END"
+
+
+@query(
+    "mask_geometry",
+    f"""{_SDF}, t AS (SELECT vec_id, cell, y, x, {_SCALED} AS f FROM sd), r AS (SELECT *, {_DIFF.format(c='f', w='PARTITION BY vec_id, x ORDER BY y', k='y')} AS dy, {_DIFF.format(c='f', w='PARTITION BY vec_id, y ORDER BY x', k='x')} AS dx FROM t),
+    n AS (SELECT *, sqrt(dx*dx+dy*dy+1e-6) AS l FROM r) SELECT vec_id, cell, round(f,5)+0.0 AS sdf, round(dx/l,5)+0.0 AS nx, round(dy/l,5)+0.0 AS ny, round(-f*dx/l,5)+0.0 AS ox, round(-f*dy/l,5)+0.0 AS oy, round(exp(-abs(f)/0.25),5)+0.0 AS reliability FROM n""",
+)
+def mask_geometry(s, d):
+    """Distance field of a mask with normals, offsets to the edge and reliability."""
+    m = _maps(s, d).select("vec_id", F.transform("p", lambda x: (x > 0.5).cast("int")).alias("m"))
+    return _exploded(M.mask_geometry(m, "vec_id", "m", H, W, 0.25), 5, **{c: F.col(c) for c in ("sdf", "nx", "ny", "ox", "oy", "reliability")})
+
+
+@query("token_grid", f"{_PIX} SELECT vec_id, y::INT AS y, [round(v,6)+0.0 FOR v IN list(p ORDER BY x)] AS row FROM x GROUP BY 1,2")
+def token_grid(s, d):
+    """A flat run of cells as rows of a grid, and flat again before it is cut once more."""
+    rows = V.to_grid(V.from_grid(V.to_grid("p", H, W)), H, W)
+    x = _maps(s, d).select("vec_id", F.posexplode(rows).alias("y", "row"))
+    return x.select("vec_id", "y", F.transform("row", lambda v: F.round(v, 6) + 0.0).alias("row"))

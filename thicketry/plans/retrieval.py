@@ -68,10 +68,21 @@ def top_accuracy(s, d):
     return a.select(F.round("top1", 6).alias("top1"), F.round("topk", 6).alias("topk"), "n_queries")
 
 
-@query("contrastive_loss", f"{_HITS}, m AS (SELECT query, rank, score/0.1 AS l, max(score/0.1) OVER (PARTITION BY query) mx FROM hits) SELECT query, round(ln(sum(exp(l-mx)))+max(mx)-max(l) FILTER (WHERE rank=3),6) AS loss FROM m GROUP BY 1")
+_LOGITS = f"SELECT q.vec_id AS query, b.vec_id, {cos_sql('q.embedding', 'b.embedding')}/0.1 AS l FROM embeddings q JOIN embeddings b ON q.vec_id%100=0"
+
+
+@query("contrastive_loss", f"WITH l AS ({_LOGITS}), m AS (SELECT *, max(l) OVER (PARTITION BY query) mx FROM l) SELECT query, round(ln(sum(exp(l-mx)))+max(mx)-max(l) FILTER (WHERE vec_id=query),6) AS loss FROM m GROUP BY 1")
 def contrastive_loss(s, d):
-    logits = _hits(s, d).withColumn("logit", F.col("score") / 0.1)
-    return T.info_nce(logits, "query", "logit", F.col("rank") == 3).withColumn("loss", F.round("loss", 6))
+    """The logits of all rows; the row of the query's own image is the positive one."""
+    e = table(s, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("vec_id").alias("image"), "embedding")
+    return T.contrastive_loss(q, "query", "image", e, "vec_id", "embedding", 0.1).withColumn("loss", F.round("loss", 6))
+
+
+@query("positive_rows", "SELECT vec_id AS query, vec_id FROM embeddings WHERE vec_id%100=0")
+def positive_rows(s, d):
+    q = table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("vec_id").alias("image"))
+    return T.positive_rows(q, "query", "image", table(s, d, "embeddings"), "vec_id")
 
 
 _ROUTED = f"""WITH q AS (SELECT vec_id AS query, embedding e FROM embeddings WHERE vec_id%100=0), r AS (SELECT query, unnest([query%10, (query+3)%10])::INT AS label FROM q),

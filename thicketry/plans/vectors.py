@@ -77,39 +77,67 @@ def prototype_invariants(s, d):
     return q.groupBy("bank_id").agg(F.count(F.lit(1)).alias("n_rows"), n(~F.col("finite")).alias("n_unusable"), n(F.col("n") == 0).alias("n_zero"), n((F.col("n") > 0) & (F.abs(F.col("n") - 1) > 0.001)).alias("n_not_unit"), n(F.col("is_valid") & (F.coalesce("n", F.lit(0.0)) == 0)).alias("n_false_flag"))
 
 
-_P = f"SELECT vec_id, label, {PROBS} AS p, {PROBS.replace('e[1],e[2],e[3],e[4]', 'e[5],e[6],e[7],e[8]')} AS q FROM (SELECT vec_id, label, embedding AS e FROM embeddings)"
+#: All 64 values in eight runs of eight: the first four of a run are one distribution, the last four the other.
+_RUNS = "SELECT vec_id, r::INT AS run, embedding[r*8+1:r*8+8] AS e FROM embeddings, (SELECT unnest(range(8)) r)"
+_P = f"SELECT vec_id, run, {PROBS} AS p, {PROBS.replace('e[1],e[2],e[3],e[4]', 'e[5],e[6],e[7],e[8]')} AS q FROM ({_RUNS})"
 _N = "CASE WHEN list_sum({x}) > 1e-6 THEN list_transform({x}, lambda v: v/list_sum({x})) ELSE [0.0,0.0,0.0,0.0]::DOUBLE[] END"
 _KL = "list_sum(list_transform(range(1,5), lambda i: {a}[i]*(ln(greatest({a}[i],1e-6))-ln(greatest(({a}[i]+{b}[i])/2,1e-6)))))"
 
 
-def _probabilities(s, d):
-    e = table(s, d, "embeddings")
-    part = lambda a: V.normalize_probabilities(F.transform(F.slice("embedding", a, 4), lambda x: x.cast("double")))
-    return e.select("vec_id", "label", part(1).alias("p"), part(5).alias("q"))
+def _slices(s, d, width):
+    e = table(s, d, "embeddings").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(64 // width - 1))))
+    return e.select("vec_id", "run", F.transform(F.slice("embedding", F.col("run") * width + 1, F.lit(width)), lambda x: x.cast("double")).alias("e"))
 
 
 @query(
     "probability_divergence",
-    f"""WITH b AS ({_P}), n AS (SELECT vec_id, {_N.format(x='p')} AS p, {_N.format(x='q')} AS q FROM b)
-    SELECT vec_id, round(list_sum(p),6) AS total, round(-list_sum(list_transform(p, lambda x: x*ln(greatest(x,1e-6))))/ln(4),6)+0.0 AS entropy,
+    f"""WITH b AS ({_P}), n AS (SELECT vec_id, run, {_N.format(x='p')} AS p, {_N.format(x='q')} AS q FROM b)
+    SELECT vec_id, run, round(list_sum(p),6) AS total, round(-list_sum(list_transform(p, lambda x: x*ln(greatest(x,1e-6))))/ln(4),6)+0.0 AS entropy,
     round(({_KL.format(a='p', b='q')}+{_KL.format(a='q', b='p')})/2/ln(2),6)+0.0 AS divergence FROM n""",
 )
 def probability_divergence(s, d):
-    p = _probabilities(s, d)
-    return p.select("vec_id", F.round(V.total("p"), 6).alias("total"), (F.round(V.entropy("p"), 6) + 0.0).alias("entropy"), (F.round(V.js_divergence("p", "q"), 6) + 0.0).alias("divergence"))
+    part = lambda a: V.normalize_probabilities(F.slice("e", a, 4))
+    p = _slices(s, d, 8).select("vec_id", "run", part(1).alias("p"), part(5).alias("q"))
+    return p.select("vec_id", "run", F.round(V.total("p"), 6).alias("total"), (F.round(V.entropy("p"), 6) + 0.0).alias("entropy"), (F.round(V.js_divergence("p", "q"), 6) + 0.0).alias("divergence"))
+
+
+_ERRORS = "SELECT vec_id, r::INT AS run, list_transform(embedding[r*4+1:r*4+4], lambda x: abs(CAST(x AS DOUBLE))) AS err FROM embeddings, (SELECT unnest(range(16)) r)"
 
 
 @query(
     "branch_oracle",
-    """WITH b AS (SELECT vec_id, list_transform([embedding[1],embedding[2],embedding[3],embedding[4]], lambda x: abs(CAST(x AS DOUBLE))) AS err FROM embeddings), e AS (SELECT vec_id, err, list_transform(err, lambda x: exp((-x+list_min(err))/0.1)) AS w FROM b)
-    SELECT vec_id, list_position(err, list_min(err))-1 AS best, round(list_max(w)/list_sum(w),6) AS weight, err[1]-list_min(err) > 0.05 AS improves, round(err[1]+list_sum(list_transform(range(1,5), lambda i: w[i]/list_sum(w)*(err[i]-err[1]))),6) AS mixed FROM e""",
+    f"""WITH b AS ({_ERRORS}), e AS (SELECT vec_id, run, err, list_transform(err, lambda x: exp((-x+list_min(err))/0.1)) AS w FROM b)
+    SELECT vec_id, run, list_position(err, list_min(err))-1 AS best, round(list_max(w)/list_sum(w),6) AS weight, err[1]-list_min(err) > 0.05 AS improves, round(err[1]+list_sum(list_transform(range(1,5), lambda i: w[i]/list_sum(w)*(err[i]-err[1]))),6) AS mixed FROM e""",
 )
 def branch_oracle(s, d):
-    """Softmax over the negative error of four branches, and what their mixture would leave."""
-    b = table(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double"))).alias("err"))
+    """Softmax over the negative error of four branches, at all 16 places of a row, and what their mixture would leave."""
+    b = _slices(s, d, 4).select("vec_id", "run", F.transform("e", F.abs).alias("err"))
     b = b.withColumn("w", V.softmax(F.transform("err", lambda x: -x), 0.1))
     e = F.col("err")
-    return b.select("vec_id", (F.array_position("err", F.array_min("err")) - 1).alias("best"), F.round(F.array_max("w"), 6).alias("weight"), ((e[0] - F.array_min("err")) > 0.05).alias("improves"), F.round(V.mixture(e[0], [e[i] for i in range(4)], F.col("w")), 6).alias("mixed"))
+    return b.select("vec_id", "run", (F.array_position("err", F.array_min("err")) - 1).alias("best"), F.round(F.array_max("w"), 6).alias("weight"), ((e[0] - F.array_min("err")) > 0.05).alias("improves"), F.round(V.mixture(e[0], [e[i] for i in range(4)], F.col("w")), 6).alias("mixed"))
+
+
+_GAIN = "sum(w*CASE WHEN abs(x)<1 THEN 0.5*x*x ELSE abs(x)-0.5 END)/greatest(sum(w),1)"
+
+
+@query(
+    "quality_losses",
+    f"""WITH b AS ({_ERRORS}), o AS (SELECT vec_id, run, err, list_transform(err, lambda x: exp((-x+list_min(err))/0.5)) AS w, (err[1]-list_min(err)>=0.03)::INT AS ok FROM b),
+    k AS (SELECT vec_id, ok, list_sum(list_transform(range(1,5), lambda i: w[i]/list_sum(w)*(ln(greatest(w[i]/list_sum(w),1e-6))-ln(0.25)))) AS kl, err FROM o), g AS (SELECT vec_id, 1.0 AS w, err[1]-unnest(err)-0.1 AS x FROM b)
+    SELECT vec_id, round(gain,6) AS gain_loss, round(kl,6)+0.0 AS oracle_loss FROM (SELECT vec_id, {_GAIN} AS gain FROM g GROUP BY 1) JOIN (SELECT vec_id, sum(kl*ok)/greatest(sum(ok),1) AS kl FROM k GROUP BY 1) USING (vec_id)""",
+)
+def quality_losses(s, d):
+    """Smooth L1 of a forecast gain (0.1 everywhere) against the real one, over all branches; divergence of the oracle from even weights where it improves."""
+    from thicketry.functions import scores
+
+    b = _slices(s, d, 4).select("vec_id", F.transform("e", F.abs).alias("err"))
+    b = b.withColumn("w", V.softmax(F.transform("err", lambda x: -x), 0.5))
+    even = F.array(*[F.lit(0.25)] * 4)
+    ok = (F.col("err")[0] - F.array_min("err") >= 0.03).cast("double")
+    gain = V.total(F.transform("err", lambda x: scores.smooth_l1(F.col("err")[0] - x - 0.1)))
+    b = b.select("vec_id", gain.alias("gain"), (scores.oracle_divergence("w", even)).alias("kl"), ok.alias("ok"))
+    out = b.groupBy("vec_id").agg((F.sum("gain") / (4 * F.count(F.lit(1)))).alias("gain"), M.guarded_mean(F.col("kl"), F.col("ok")).alias("kl"))
+    return out.select("vec_id", F.round("gain", 6).alias("gain_loss"), (F.round("kl", 6) + 0.0).alias("oracle_loss"))
 
 
 @query("one_hot_values", "SELECT vec_id, [CASE WHEN label%4=0 THEN 1.0 ELSE 0.0 END, CASE WHEN label%4=1 THEN 1.0 ELSE 0.0 END, CASE WHEN label%4=2 THEN 1.0 ELSE 0.0 END, CASE WHEN label%4=3 THEN 1.0 ELSE 0.0 END][label%4+1]::DOUBLE AS own, (label%4 IN (0,2))::INT::DOUBLE AS fg, (label%4 IN (1,3))::INT::DOUBLE AS bg FROM embeddings")

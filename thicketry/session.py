@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,18 +39,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
+    """The folder that all executors share: ``spark.checkpoint.dir``, else the checkpoint folder the caller has set.
 
-    A temporary folder of this machine is used only where the setting is absent, as in tests.
+    With neither, a temporary folder of this machine is used under a local master, as in tests, and
+    removed when Python ends; under any other master that is an error, since executors would write
+    to disks of their own.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(spark, "_thicketry_dir", None)
-        if where is None:
-            where = "file://" + tempfile.mkdtemp(prefix="thicketry-", dir=os.environ.get("TMPDIR"))
-            spark._thicketry_dir = where
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().conf().get("spark.checkpoint.dir", "")
+    held = sc._jsc.sc().getCheckpointDir()
+    if not where and held.isDefined():
+        where = held.get()
+    if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="thicketry-", dir=os.environ.get("TMPDIR"))
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = "file://" + own
+    if not held.isDefined():
         sc.setCheckpointDir(where)
     return where
 
@@ -58,10 +67,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _tables(spark: SparkSession) -> str:
+    """The folder of this application's stored tables; Hadoop removes it when the JVM ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/tables-{sc.applicationId}"
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return path
+
+
 def store(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a compressed table in the shared folder: for rows that are read more than once."""
-    import uuid
-
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -65,20 +65,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def write_once(df: DataFrame, path: str) -> str:
-    """Writes a table under ``path``: ``written``; ``same`` if it holds the same rows already; else an error.
+def place(df: DataFrame, path: str, beside: str) -> None:
+    """Writes a table under a name of its own in the folder ``beside`` and renames it to ``path``: a reader sees the whole or nothing."""
+    spark = df.sparkSession
+    tmp = f"{beside}/{uuid.uuid4().hex}"
+    df.write.parquet(tmp)
+    above = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    above.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(above)
+    if not _rename(spark, tmp, path):
+        raise OSError(f"cannot rename to {path}")
 
-    Written beside and renamed, so a reader sees the whole table or none.
-    """
+
+def write_once(df: DataFrame, path: str) -> str:
+    """Writes a table under ``path``: ``written``; ``same`` if it holds the same rows already; else an error."""
     spark = df.sparkSession
     if exists(spark, path):
         if same_bag(df, spark.read.parquet(path)):
             return "same"
         raise FileExistsError(f"{path} holds other rows")
-    tmp = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(tmp)
-    if not _rename(spark, tmp, path):
-        raise OSError(f"cannot rename to {path}")
+    place(df, path, f"{path}.writing")
     return "written"
 
 
@@ -118,21 +123,40 @@ def aligned_report(rows: list[dict], columns: list[str], digits: int = 3) -> str
 
 
 def read_gray(files: DataFrame, key: str = "sample_key", content: str = "content") -> DataFrame:
-    """(key, h, w, p): binary PGM (P5) images as row-major arrays of 0..1; other formats need a decoder the caller brings."""
+    """(key, h, w, p): binary PGM (P5) images as row-major arrays of 0..1, of one or two bytes a cell, with comments in the head.
+
+    Another format needs a decoder the caller brings; it raises here, as does a file whose cells are
+    fewer or more than its head says.
+    """
 
     def run(batches):
-        import numpy as np
         import pandas as pd
 
         for pdf in batches:
             rows = []
             for k, b in zip(pdf[key], pdf[content]):
-                head = b.split(None, 4)
-                if head[0] != b"P5":
-                    raise ValueError(f"{k}: not a binary gray map")
-                w, h, top = int(head[1]), int(head[2]), int(head[3])
-                v = np.frombuffer(b[-w * h :], np.uint8) / top
-                rows.append((k, h, w, v.astype(np.float32).tolist()))
+                try:
+                    rows.append((k, *_gray(b)))
+                except ValueError as e:
+                    raise ValueError(f"{k}: {e}") from e
             yield pd.DataFrame(rows, columns=[key, "h", "w", "p"])
 
-    return files.select(key, content).mapInPandas(run, f"{key} string, h int, w int, p array<float>")
+    return files.select(key, content).mapInPandas(run, f"{key} {files.schema[key].dataType.simpleString()}, h int, w int, p array<float>")
+
+
+def _gray(b: bytes) -> tuple[int, int, list[float]]:
+    """Height, width and cells of a P5 image; two-byte cells have the high byte first."""
+    import re
+
+    import numpy as np
+
+    head = re.match(rb"P5" + rb"(?:\s|#[^\n]*\n)+(\d+)" * 3 + rb"\s", b)
+    if not head:
+        raise ValueError("not a binary gray map")
+    w, h, top = map(int, head.groups())
+    if not 0 < top < 65536:
+        raise ValueError(f"largest value {top}")
+    v = np.frombuffer(b[head.end() :], ">u2" if top > 255 else np.uint8)
+    if v.size != w * h:
+        raise ValueError(f"{v.size} cells in place of {h} x {w}")
+    return h, w, (v / top).astype(np.float32).tolist()

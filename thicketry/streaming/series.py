@@ -54,11 +54,15 @@ def windowed_means(df: DataFrame, time: str, value: str, group: str, width: str
 
 
 def append_bank(stream: DataFrame, path: str, checkpoint: str, key: str):
-    """Appends each micro-batch to a bank; a key that the bank already holds fails the stream."""
+    """Appends each micro-batch to a bank; a key that the bank already holds fails the stream.
+
+    A batch is written beside the bank and renamed into it, so a batch that stands in the bank is
+    whole; what a crash left half written is written anew when the stream starts again.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
         from thicketry.operators.relations import require_unique
-        from thicketry.sources.files import exists
+        from thicketry.sources.files import exists, place
 
         spark = batch.sparkSession
         batch = require_unique(batch, key)
@@ -68,6 +72,6 @@ def append_bank(stream: DataFrame, path: str, checkpoint: str, key: str):
             twice = batch.join(spark.read.parquet(path).select(key), key, "left_semi").limit(3).collect()
             if twice:
                 raise ValueError(f"repeated keys: {[r[key] for r in twice]}")
-        batch.write.parquet(f"{path}/part={number}")
+        place(batch, f"{path}/part={number}", f"{path}.writing")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
