@@ -29,7 +29,8 @@ def test_shares_floors_and_budget(spark):
     got = {(r.pool, r.category): r for r in report.collect()}
     n = Counter((r.pool, r.category) for r in sample.collect())
     assert sample.count() == sample.distinct().count()
-    assert all(r.taken == n[k] for k, r in got.items())
+    assert all(r.taken == n[k] <= r.drawn for k, r in got.items())
+    assert all(r.unmet == (r.available < r.wanted or r.available < r.floor) for r in got.values())
     assert sum(v for k, v in n.items() if k[0] == "p") <= 200 and n["p", "c"] == 30 and n["p", "d"] == 3
     assert abs(n["p", "a"] - 100) <= 10 and abs(n["p", "b"] - 60) <= 10 and n["q", "a"] == 5
     assert {k for k, r in got.items() if r.unmet} == {("p", "d"), ("q", "z")}
@@ -50,6 +51,16 @@ def test_same_sample_for_any_partitioning_and_chance_is_even(spark):
     assert max(seen.values()) <= 5 and len(seen) > 200
 
 
+def test_floors_beyond_the_budget_come_first_and_the_rest_goes_back(spark):
+    records = pool("p", a=100, b=100, c=100) + pool("q", a=50, b=50)
+    targets = [("p", "a", 0.9, 20, 0), ("p", "b", 0.05, 20, 15), ("p", "c", 0.05, 20, 3), ("q", "a", 0.5, 10, 8), ("q", "b", 0.5, 10, 9)]
+    sample, report = mix(spark, records, targets)
+    n = Counter((r.pool, r.category) for r in sample.collect())
+    assert n["p", "b"] == 15 and n["p", "c"] == 3 and n["p", "a"] == 2 and n["q", "a"] == 8 and n["q", "b"] == 9
+    got = {(r.pool, r.category): r for r in report.collect()}
+    assert not any(r.unmet for r in got.values()) and got["p", "a"].drawn == 18
+
+
 def test_mix_without_rows(spark):
     nulls = [(None, "a", "x"), ("p", None, "x"), ("p", "a", None)]
     sample, report = mix(spark, nulls, [("p", "a", 1.0, 2, 0), (None, "a", 1.0, 2, 0)])

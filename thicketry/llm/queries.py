@@ -72,7 +72,7 @@ def _mix(spark, d):
 
     roles = table(spark, d, "subset_roles")
     rows = catalog.with_subset(table(spark, d, "image_catalog").select("pool_id", "sample_key", "subset", "path"), roles)
-    ident = F.coalesce(F.col("sample_key"), F.concat(F.lit("\u0000"), "subset_name", F.lit("/"), catalog.file_name(F.col("path"))))
+    ident = F.coalesce(F.col("sample_key"), F.concat(F.lit("\u0001"), "subset_name", F.lit("/"), catalog.file_name(F.col("path"))))
     records = rows.select(F.col("pool_id").alias("pool"), F.col("subset_name").alias("category"), ident.alias("id"))
     names = roles.select(F.col("subset").alias("category"), catalog.loose(F.col("subset")).alias("_loose")).dropDuplicates(["_loose"])
     mix = table(spark, d, "target_mix").withColumn("_loose", catalog.loose(F.col("subset"))).join(names, "_loose")
@@ -173,6 +173,20 @@ def oracle_sql():
     n AS (SELECT pool_id, subset, count(*) n FROM r WHERE id IS NOT NULL GROUP BY 1,2),
     t AS (SELECT pool_id, s AS subset, max(round(coalesce(target_share,0)*budget)) w, max(coalesce(min_keep,0)) f FROM target_mix JOIN roles ON l={_LOOSE.format(x="subset")} GROUP BY 1,2)
     SELECT t.pool_id, t.subset FROM t LEFT JOIN n USING (pool_id, subset) WHERE coalesce(n,0)<w OR coalesce(n,0)<f"""
+    mix = f"""WITH roles AS (SELECT subset AS s, {_LOOSE.format(x="subset")} AS l FROM subset_roles), c AS (SELECT *, {_SUBSET} AS raw FROM image_catalog),
+    r AS (SELECT DISTINCT pool_id AS pool, s AS category, coalesce(sample_key, chr(1)||s||'/'||regexp_extract(replace(path,'\\','/'),'[^/]*$')) AS id FROM c JOIN roles ON l={_LOOSE.format(x="raw")} WHERE pool_id IS NOT NULL),
+    a AS (SELECT *, count(*) OVER (PARTITION BY pool, category) AS available, row_number() OVER (PARTITION BY pool, category ORDER BY ('0x'||substr(md5('17|'||id),1,15))::BIGINT, id)-1 AS rank FROM r WHERE id IS NOT NULL),
+    n AS (SELECT pool, category, max(available) AS available FROM a GROUP BY 1,2),
+    t AS (SELECT pool_id AS pool, s AS category, max(greatest(0,round(coalesce(target_share,0)*coalesce(budget,0)))::BIGINT) wanted, max(greatest(0,coalesce(min_keep,0)))::BIGINT AS floor, max(coalesce(budget,0))::BIGINT AS budget FROM target_mix JOIN roles ON l={_LOOSE.format(x="subset")} WHERE pool_id IS NOT NULL GROUP BY 1,2),
+    p1 AS (SELECT t.*, coalesce(available,0) AS available, least(wanted, coalesce(available,0)) AS mass, least(floor, coalesce(available,0)) AS least FROM t LEFT JOIN n USING (pool, category)),
+    p2 AS (SELECT *, CASE WHEN available>0 THEN mass/available ELSE 0 END AS p, sum(mass) OVER (PARTITION BY pool ORDER BY category)-mass+('0x'||substr(md5('17|'||pool),1,5))::BIGINT/1048576.0 AS base, greatest(mass, least) AS kept, greatest(mass, least)-least AS slack FROM p1),
+    p3 AS (SELECT *, least(sum(slack) OVER q, greatest(0, sum(kept) OVER q - max(budget) OVER q)) AS surplus, sum(slack) OVER q AS room FROM p2 WINDOW q AS (PARTITION BY pool)),
+    p4 AS (SELECT *, round(CASE WHEN room>0 THEN surplus*slack/room ELSE 0 END,6) AS part FROM p3), p5 AS (SELECT *, floor(part) AS back, sum(floor(part)) OVER (PARTITION BY pool) AS gone FROM p4),
+    p6 AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY part-back DESC, category) AS turn FROM p5), plan AS (SELECT *, kept-back-(CASE WHEN turn<=surplus-gone AND slack>back THEN 1 ELSE 0 END) AS take FROM p6),
+    k AS (SELECT a.pool, a.category, a.id, a.rank, kept, take, mass, floor(round(base+rank*p,6))-floor(round(base,6)) AS hits, floor(round(base+(rank+1)*p,6))-floor(round(base,6)) AS nxt FROM a JOIN plan USING (pool, category)),
+    drawn AS (SELECT *, CASE WHEN nxt>hits THEN hits ELSE mass+rank-hits END AS place FROM k), s AS (SELECT pool, category, count(*) FILTER (WHERE place<kept) AS drawn, count(*) FILTER (WHERE place<take) AS taken FROM drawn GROUP BY 1,2)"""
+    p1s = f"{mix} SELECT pool, category, id FROM drawn WHERE place<take"
+    p1r = f"{mix} SELECT pool, category, plan.budget, wanted, plan.floor, available, coalesce(drawn,0) AS drawn, coalesce(taken,0) AS taken, (available<wanted OR available<plan.floor) AS unmet FROM plan LEFT JOIN s USING (pool, category)"
     p3 = f"""WITH v AS (SELECT sample_key AS k, min(proto) AS e FROM prototypes WHERE is_valid AND bank_id IN (SELECT bank_id FROM memory_banks WHERE ok) AND sample_key IS NOT NULL AND {_USABLE.format(v="proto", n=128)} GROUP BY 1),
     p AS (SELECT a.k, b.k AS o, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.k<>b.k), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c DESC, o) AS n FROM p WHERE c>=0.9)
     SELECT DISTINCT least(k,o) AS key_a, greatest(k,o) AS key_b FROM r WHERE n<=5"""
@@ -184,4 +198,4 @@ def oracle_sql():
     SELECT DISTINCT sample_key, s AS subset FROM c JOIN roles ON l={_LOOSE.format(x="raw")} WHERE ('0x'||substr(md5('v1|'||sample_key),1,12))::BIGINT < floor(CASE split_role {rate} END * 281474976710656)"""
     p6 = f"""WITH v AS (SELECT sample_key AS k, min(normalized_features) AS e FROM kmeans_result WHERE sample_key IS NOT NULL AND {_USABLE.format(v="normalized_features", n=64)} GROUP BY 1),
     g AS (SELECT a.k, min(b.k) AS m, count(*) AS n FROM v a JOIN v b ON list_cosine_similarity(a.e, b.e)>=0.835 GROUP BY 1) SELECT k AS sample_key, m AS cluster_key FROM g WHERE n>=3"""
-    return {"p1_found": p1, "p3_found": p3, "p4_found": p4, "p4_sample": p4s, "p6_found": p6}
+    return {"p1_found": p1, "p1_sample": p1s, "p1_report": p1r, "p3_found": p3, "p4_found": p4, "p4_sample": p4s, "p6_found": p6}
