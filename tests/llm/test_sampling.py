@@ -174,6 +174,18 @@ def test_canonical_keys():
     assert stable.canonical_key("") == "" and stable.canonical_key("TR/a.orig") == "TR/a.orig"
 
 
+def test_canonical_columns_say_the_same_as_the_function(spark):
+    keys = ["TR/moss", "TR\\moss.PNG", " ./TR//moss .jpg ", "TR/moss.orig", "", None, "\tTR / moss\n", "TR/\x0bm.png.png", ".", "a/./b", "TR/é-moss", unicodedata.normalize("NFD", "TR/é-moss.gif"), "TR/\u00a0moss", "x.jpeg/y.tif", "A/b.png\n"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    assert {(r.k, r.key) for r in stable.with_canonical(df, "k").collect()} == {(k, None if k is None else stable.canonical_key(k)) for k in keys}
+
+
+def test_levels_beyond_sixty_fail(spark):
+    for level in (61, -1):
+        with pytest.raises(Exception, match="level beyond"):
+            stable.lost_members(spark.createDataFrame([(1, None, level, "a")], "run int, parent int, level int, key string")).collect()
+
+
 def test_lost_members(spark):
     rng = random.Random(3)
     rows = [(run, run - 1 if run % 2 == 0 else None, level, f"k{rng.randrange(12)}") for run in range(1, 9) for level in (1, 2, 3) for _ in range(6) if (run, level) != (4, 3)]

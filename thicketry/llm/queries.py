@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from thicketry.session import table
+from thicketry.session import store, table
 
 
 def p7_ids(spark, d):
@@ -121,8 +121,10 @@ def p2_counts(spark, d):
 def p4_found(spark, d):
     from thicketry.llm import stable
 
+    # the cleaned lists are read by four branches, so they are written once
     lists = stable.with_canonical(table(spark, d, "split_rows").select("run_id", "parent_run_id", "split_level", "sample_key").distinct(), "sample_key")
-    lost = stable.lost_members(lists.select(F.col("run_id").alias("run"), F.col("parent_run_id").alias("parent"), F.col("split_level").alias("level"), "key"))
+    lists = store(lists.select("run_id", "parent_run_id", "split_level", "key").distinct())
+    lost = store(stable.lost_members(lists.select(F.col("run_id").alias("run"), F.col("parent_run_id").alias("parent"), F.col("split_level").alias("level"), "key")))
     # as image_catalog writes them: of several writings the canonical one, else the smallest
     keys = table(spark, d, "image_catalog").where("sample_key is not null").select("sample_key").distinct()
     written = stable.with_canonical(keys, "sample_key").join(lost.select("key").distinct(), "key", "left_semi")

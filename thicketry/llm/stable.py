@@ -26,11 +26,18 @@ def canonical_key(key: str) -> str:
 
 
 def with_canonical(df: DataFrame, key: str, out: str = "key") -> DataFrame:
+    """Adds ``canonical_key``: by built-in expressions, only what is not ASCII also by Python, for its accents."""
+
     @F.pandas_udf("string")
     def canon(s):
         return s.map(canonical_key, na_action="ignore")
 
-    return df.withColumn(out, canon(F.col(key)))
+    c = F.col(key)
+    parts = F.filter(F.transform(F.split(F.translate(c, "\\", "/"), "/"), lambda p: F.regexp_replace(p, r"^[ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+$", "")), lambda p: (p != "") & (p != "."))
+    plain = F.regexp_replace(F.regexp_replace(F.array_join(parts, "/"), r"(?i)\.(?:jpe?g|png|tiff?|bmp|webp|gif)\z", ""), r"^[ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+$", "")
+    odd = c.rlike(r"[^\x00-\x7f]")
+    # Python sees nulls in place of the keys that need nothing of it
+    return df.withColumn(out, F.when(odd, canon(F.when(odd, c))).otherwise(plain))
 
 
 def salted(key: str, salt: str):
@@ -61,14 +68,14 @@ def lost_members(lists: DataFrame) -> DataFrame:
     """(run, level, key): selected before, and gone: what a threshold that only rises can never lose.
 
     ``lists`` has (run, parent, level, key), rows in any number and order; level counts from 0 to
-    60. A key is lost from a list of a run if a list of a lower level of the run, or the list of the
+    60, and the query fails at any other. A key is lost from a list of a run if a list of a lower level of the run, or the list of the
     same level of the run's parent holds it. Selection levels of a key are thresholds it has
     passed, kept as the bits of one number per run and key: one exchange of small rows by (run,
     key), and no list is ever held whole. Nulls in run, level or key are left out; a level at which
     a run has no list at all loses nothing; a parent without rows is ignored.
     """
     rows = lists.where("run is not null and level is not null and key is not null")
-    bit = F.expr("shiftleft(1L, cast(level as int))")
+    bit = F.when(F.col("level").between(0, 60), F.expr("shiftleft(1L, cast(level as int))")).otherwise(F.raise_error(F.concat(F.lit("a level beyond 0 to 60: "), F.col("level").cast("string"))).cast("bigint"))
     own = rows.groupBy("run", "key").agg(F.bit_or(bit).alias("own"))
     runs = rows.groupBy("run").agg(F.bit_or(bit).alias("has"))
     parents = rows.where("parent is not null").select(F.col("run").alias("child"), "parent").distinct()
