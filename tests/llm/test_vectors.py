@@ -141,28 +141,53 @@ def test_pivots_against_the_plain_loop():
     assert all(sim[i] >= 0.8 - 1e-6 for i in range(300))
 
 
+def varied(df, budget, **k):
+    got = variety.varied_subset(df, "k", "s", "v", D, budget, **k).orderBy("selection_order").collect()
+    assert [r.selection_order for r in got] == list(range(len(got))) and len({r.key for r in got}) == len(got)
+    return got
+
+
 def test_variety(spark):
     rows = [(k, v, "A" if k < "g060" else "B") for k, v in groups([1] * 40 + [300] * 5 + [2] * 20 + [150] * 3)]
     df = spark.createDataFrame(rows, "k string, v array<float>, s string").withColumn("key", F.lit(0))
-    one = variety.varied_subset(df, "k", "s", "v", D, 50)
-    got = one.orderBy("selection_order").collect()
-    assert len(got) == 50 == len({r.key for r in got}) and [r.selection_order for r in got] == list(range(50))
-    assert {r.stratum for r in got[:2]} == {"A", "B"}
+    got = varied(df, 50)
+    assert len(got) == 50 and {r.stratum for r in got} == {"A", "B"}
     per = {}
     for r in got:
         per[r.key[:4]] = per.get(r.key[:4], 0) + 1
     assert max(per.values()) <= 2 and len(per) >= 45
-    assert variety.varied_subset(df.limit(3), "k", "s", "v", D, 10).count() == 3
+    big = {r.key[:4] for r in got[:8]}
+    assert len(big) == 8 and sum(g in {"g040", "g041", "g042", "g043", "g044", "g065", "g066", "g067"} for g in big) >= 5
+    assert len(varied(df.limit(3), 10)) == 3
 
 
-def test_variety_fills_the_budget_from_look_alikes(spark):
-    rows = [(k, v, "A" if k < "g006" else "B") for k, v in groups([1] * 10 + [300])]
+def test_variety_has_the_size_asked_whatever_it_is(spark):
+    rows = [(k, v, "A" if k < "g006" else "B") for k, v in groups([1] * 10 + [150])] + [("x", [1.0] * D, None)]
     df = spark.createDataFrame(rows, "k string, v array<float>, s string").repartition(3)
-    got = variety.varied_subset(df, "k", "s", "v", D, 60).orderBy("selection_order").collect()
-    assert len(got) == 60 == len({r.key for r in got}) and [r.selection_order for r in got] == list(range(60))
-    assert len({r.key[:4] for r in got[:11]}) == 11
-    every = variety.varied_subset(df, "k", "s", "v", D, 1000).collect()
-    assert sorted(r.key for r in every) == sorted(k for k, _, _ in rows) and sorted(r.selection_order for r in every) == list(range(310))
+    for budget in (1, 2, 60, 160, 161, 1000):
+        got = varied(df, budget)
+        assert len(got) == min(budget, 161)
+        if budget >= 60:
+            assert len({r.key[:4] for r in got[:12]}) == 12 and {r.stratum for r in got} == {"A", "B", ""}
+
+
+def test_variety_is_the_same_for_every_partitioning(spark):
+    rows = [(k, v, k[3]) for k, v in groups([1] * 200 + [40] * 5 + [5] * 20, spread=0.1)]
+    df = spark.createDataFrame(rows, "k string, v array<float>, s string")
+    for how in ({"bucket_rows": 100, "fan": 2}, {"most_entries": 48, "bucket_rows": 90, "block_bytes": 5_000}):
+        one = [(r.key, r.selection_order) for r in varied(df.repartition(1), 130, **how)]
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+        try:
+            assert one == [(r.key, r.selection_order) for r in varied(df.orderBy(F.desc("k")).repartition(8), 130, **how)]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(one) == 130
+
+
+def test_a_budget_beyond_one_tree_is_divided_over_cells(spark):
+    rows = [(k, v, "A") for k, v in groups([1] * 300 + [30] * 10 + [200])]
+    got = varied(spark.createDataFrame(rows, "k string, v array<float>, s string"), 200, most_entries=64, bucket_rows=200)
+    assert len(got) == 200 and len({r.key[:4] for r in got}) >= 150
 
 
 def test_feature_tree_keeps_sums():
@@ -175,9 +200,13 @@ def test_feature_tree_keeps_sums():
 def test_ward_of_apart_groups():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=(10, 3)) * 0.01 + c for c in ((0, 0, 0), (5, 0, 0), (0, 5, 0))])
-    g = variety.ward(np.ones(30), x, 3)
+    g, turn = variety.ward(np.ones(30), x, 3)
+    assert sorted(turn) == [0, 1, 2]
     assert [len(set(g[i : i + 10])) for i in (0, 10, 20)] == [1, 1, 1] and len(set(g)) == 3
-    assert len(set(variety.ward(np.ones(4), np.zeros((4, 2)), 2))) == 2
+    assert len(set(variety.ward(np.ones(4), np.zeros((4, 2)), 2)[0])) == 2
+    n = np.array([1.0, 50, 2, 9])
+    g, turn = variety.ward(n, np.array([[0.0, 0], [10, 0], [0, 1], [0, 9]]), 3)
+    assert g[0] == g[2] and turn[g[1]] == 0 and sorted(turn) == [0, 1, 2]
 
 
 def test_quotas():

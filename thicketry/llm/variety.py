@@ -1,10 +1,13 @@
 """Problem 5: a subset of given size that covers the variety of the data.
 
-Method: cluster-feature tree. Every task condenses its records, stratum by stratum, to the leaf
-entries (count, linear sum, square sum) of a tree of bounded size whose threshold grows when the
-entries become too many; the summaries of the tasks are merged in two steps; the leaf entries are
-agglomerated by Ward linkage and cut at the quota of the stratum, and the record nearest to each
-group centre is returned, farthest first.
+Method: cluster-feature tree. Records are condensed, bucket by bucket of their keys' hashes, to the
+leaf entries (count, linear sum, square sum) of a tree of bounded size whose threshold grows when
+the entries become too many; the summaries of the buckets are merged step by step; the leaf entries
+are agglomerated by Ward linkage and cut at the number of groups wanted, and of the records whose
+nearest entry belongs to a group, the one nearest to the group's centre is returned. The order of
+acquisition is that of the linkage from the top: each further record stands for the group that the
+next cut splits off. Where the budget is more than a tree can hold, groups are cells in which the
+same is done again.
 """
 
 from __future__ import annotations
@@ -12,12 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thicketry.llm.vectors import lists, matrix, one_per_key, unit
-from thicketry.session import cut
+from thicketry.llm.vectors import lists, matrix, unit, usable
+from thicketry.operators.relations import numbered
+from thicketry.session import cut, store
 
 
 class CFTree:
@@ -117,11 +121,15 @@ class CFTree:
         self.nodes = int(self.node.max()) + 1
 
 
-def ward(n: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
-    """Group of each entry after Ward agglomeration (nearest-neighbour chains) cut at k groups."""
+def ward(n: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each entry, turn of each group) of Ward agglomeration by nearest-neighbour chains, cut at k groups.
+
+    Turns follow the linkage from the top down: the group with most records is first, and each cut
+    gives the next turn to the largest group of the part that it splits off.
+    """
     m = len(n)
     n, c, live = n.astype(float).copy(), c.copy(), np.ones(m, bool)
-    sq = (c * c).sum(1)
+    count, sq = n.copy(), (c * c).sum(1)
     merges, chain = [], []
 
     def cost(i):
@@ -142,15 +150,13 @@ def ward(n: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
                 break
             chain.append(j)
         a, b = chain.pop(), chain.pop()
-        merges.append((float(d[b]), a, b))
+        merges.append((float(d[b]), len(merges), a, b))
         total = n[a] + n[b]
         c[b] = (n[a] * c[a] + n[b] * c[b]) / total
         sq[b] = c[b] @ c[b]
         n[b] = total
         live[a] = False
     parent = np.arange(m)
-    # a merge folds group a into b; applied in the order they were made, the cheapest m - k of them
-    keep = set(sorted(range(len(merges)), key=lambda i: (merges[i][0], i))[: max(0, m - k)])
 
     def find(x):
         while parent[x] != x:
@@ -158,10 +164,24 @@ def ward(n: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
             x = parent[x]
         return x
 
-    for i in sorted(keep):
-        _, a, b = merges[i]
+    # a merge folds group a into b: the cheapest m - k make the groups, the others the order
+    merges.sort()
+    for _, _, a, b in merges[: max(0, m - k)]:
         parent[find(a)] = find(b)
-    return np.unique([find(i) for i in range(m)], return_inverse=True)[1]
+    label = np.unique([find(i) for i in range(m)], return_inverse=True)[1]
+    size = np.bincount(label, count)
+    leader = {find(i): int(label[i]) for i in range(m)}
+    splits = []
+    for _, _, a, b in merges[max(0, m - k) :]:
+        x, y = find(a), find(b)
+        low, high = sorted((leader.pop(x), leader.pop(y)), key=lambda g: (size[g], -g))
+        parent[x] = y
+        leader[y] = high
+        splits.append(low)
+    order = [*leader.values(), *splits[::-1]]
+    turn = np.empty(len(size), np.int64)
+    turn[order] = np.arange(len(size))
+    return label, turn
 
 
 def quotas(sizes: dict, budget: int) -> dict:
@@ -186,21 +206,28 @@ def quotas(sizes: dict, budget: int) -> dict:
     return left
 
 
-def varied_subset(df: DataFrame, key: str, stratum: str, vector: str, size: int, budget: int, most_entries: int = 1024, fan: int = 32, alike: float = 0.85, spare: float = 2.5) -> DataFrame:
-    """(key, stratum, selection_order, group_size): ``budget`` records in an order of acquisition.
+def varied_subset(df: DataFrame, key: str, stratum: str, vector: str, size: int, budget: int, most_entries: int = 2048, bucket_rows: int = 16_384, fan: int = 16, threshold: float = 0.36, block_bytes: int = 64 << 20) -> DataFrame:
+    """(key, stratum, selection_order, group_size): exactly ``budget`` records in an order of acquisition.
 
-    Null, short, non-finite and zero vectors and null keys are left out; a key counts once; a null
-    stratum is a stratum of its own (the empty string); with fewer records than ``budget`` all come
-    out. Where there are fewer groups than that, the next nearest records of the groups fill the
-    subset up, last in order. Strata take turns, so each is reached early; within one,
-    each next record is the one farthest from those chosen. A group of look-alikes, however large,
-    is one entry. Of ``spare`` times the budget, the records more similar than ``alike`` to one taken
-    before (of another stratum, too) wait until no other is left. A task holds at most ``most_entries`` entries a stratum, the driver one count a
-    stratum, and the centres (``budget`` vectors) are broadcast. Strata must be few.
+    Null, short, non-finite and zero vectors and null keys are left out; a key counts once, with its
+    smallest vector and stratum; a null stratum is one of its own (the empty string); with fewer
+    records than ``budget`` all come out. Where there are fewer groups than that (records within
+    ``threshold``, a root mean square distance, are look-alikes and one entry), the next nearest
+    records of the groups fill the subset up, group by group in turns, last in order. A stratum that
+    no group's record comes from takes over the group that one of its (64 most central) records
+    belongs to, if that group's stratum has another. The result depends on keys and vectors only,
+    not on partitions or batches.
+
+    A task holds a bucket of some ``bucket_rows`` records or at most ``fan`` summaries of
+    ``most_entries``; a budget beyond a third of ``most_entries`` is divided over cells by the
+    square root of their sizes. Entries are sent to the tasks in blocks of ``block_bytes``, one pass
+    over the records of those cells each; the driver holds one block and one count a cell. Strata
+    must be few.
     """
-    strata = df.groupBy(F.col(key).alias("key")).agg(F.coalesce(F.min(stratum), F.lit("")).alias("stratum"))
-    vecs = one_per_key(df, key, vector, size).join(strata, "key")
-    key_type = vecs.schema["key"].dataType
+    ok = df.select(F.col(key).alias("key"), F.col(stratum).alias("stratum"), F.col(vector).cast("array<float>").alias("vec")).where(F.col("key").isNotNull())
+    one = ok.groupBy("key").agg(F.min(F.when(usable("vec", size), F.col("vec"))).alias("vec"), F.coalesce(F.min("stratum"), F.lit("")).alias("stratum")).where("vec is not null")
+    key_type = one.schema["key"].dataType
+    vec_field = T.StructField("vec", T.ArrayType(T.FloatType()))
 
     def units(batches):
         import pyarrow as pa
@@ -209,165 +236,136 @@ def varied_subset(df: DataFrame, key: str, stratum: str, vector: str, size: int,
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(unit(matrix(b.column(2), size)))], names=["key", "stratum", "vec"])
 
-    rows = cut(vecs.select("key", "stratum", "vec").mapInArrow(units, T.StructType([T.StructField("key", key_type), T.StructField("stratum", T.StringType()), T.StructField("vec", T.ArrayType(T.FloatType()))])))
-    shape = T.StructType([T.StructField("stratum", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("n", T.DoubleType()), T.StructField("ls", T.ArrayType(T.DoubleType())), T.StructField("ss", T.DoubleType())])
-
-    def pack(trees, part, names):
+    rows = store(one.select("key", "stratum", "vec").mapInArrow(units, T.StructType([T.StructField("key", key_type), T.StructField("stratum", T.StringType()), vec_field])))
+    final = T.StructType([T.StructField("key", key_type), T.StructField("stratum", T.StringType()), T.StructField("selection_order", T.IntegerType()), T.StructField("group_size", T.LongType())])
+    n = rows.count()
+    budget = min(budget, n)
+    if budget <= 0:
+        return df.sparkSession.createDataFrame([], final)
+
+    # cells: one at first; those with too much to choose are split by their own groups
+    held, sizes, wanted, spots, groups, lowest = rows.withColumn("cell", F.lit(0)), {0: n}, {0: budget}, [], [], 0
+    cap = max(1, most_entries // 3)
+    while wanted:
+        entries = _entries(held, wanted, max(sizes[c] for c in wanted), size, most_entries, bucket_rows, fan, threshold, cap)
+        least, spread = min(wanted), {}
+        summary = entries.groupBy("cell").agg(F.max("final").alias("final"), F.count(F.lit(1)).alias("n"))
+        blocks, full = [[]], 0
+        for r in sorted(summary.collect(), key=lambda r: r["cell"]):
+            spread[r["cell"]] = r["final"]
+            if full and full + r["n"] * size * 4 > block_bytes:
+                blocks.append([])
+                full = 0
+            blocks[-1].append(r["cell"])
+            full += r["n"] * size * 4
+        moved = []
+        for block in blocks:
+            found = _assigned(held, entries, block[0], block[-1], size, key_type)
+            done = [c for c in block if spread[c]]
+            if done:
+                spots.append(found.where(F.col("cell").isin(done)).drop("vec"))
+            if len(done) < len(block):
+                moved.append(found.where(~F.col("cell").isin(done)))
+        groups.append(entries.where("final").select("cell", "group", "turn").distinct())
+        wanted, parents = {}, wanted
+        if moved:
+            from functools import reduce
+
+            top = max(sizes) + 1
+            child = (F.col("cell") - least) * most_entries + F.col("group") + top
+            held = store(reduce(DataFrame.unionByName, moved).select("key", "stratum", "vec", child.cast("int").alias("next"), "cell"))
+            counted: dict = {}
+            for r in held.groupBy("cell", "next").count().collect():
+                counted.setdefault(r["cell"], {})[r["next"]] = r["count"]
+            sizes = {}
+            for c, own in sorted(counted.items()):
+                sizes |= own
+                wanted |= quotas(own, parents[c])
+            # numbers close up, so that they stay small
+            place = {c: top + i for i, c in enumerate(sorted(sizes))}
+            names = df.sparkSession.createDataFrame(list(place.items()), "next int, cell int")
+            held = held.drop("cell").join(F.broadcast(names), "next").drop("next")
+            sizes, wanted = {place[c]: x for c, x in sizes.items()}, {place[c]: x for c, x in wanted.items()}
+    return _chosen(_union(spots), _union(groups), budget, final)
+
+
+def _union(frames):
+    from functools import reduce
+
+    return store(reduce(DataFrame.unionByName, frames))
+
+
+_ENTRY = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.DoubleType()), T.StructField("ls", T.ArrayType(T.DoubleType())), T.StructField("ss", T.DoubleType())])
+_GROUPED = T.StructType(
+    [
+        T.StructField("cell", T.IntegerType()), T.StructField("final", T.BooleanType()), T.StructField("group", T.IntegerType()), T.StructField("turn", T.IntegerType()), T.StructField("entry", T.ArrayType(T.FloatType())),
+        T.StructField("centre", T.ArrayType(T.FloatType())),
+    ]
+)
+
+
+def _entries(rows, wanted, largest, size, most_entries, bucket_rows, fan, threshold, cap):
+    """(cell, final, group, turn, entry, centre): the leaf entries of each cell's tree with their Ward groups."""
+
+    def tree(cell):
+        return CFTree(size, min(most_entries, max(256, 3 * wanted[cell])), threshold=threshold)
+
+    def packed(t, cell, bucket):
         import pyarrow as pa
 
-        s = np.concatenate([[k] * len(t.n) for k, t in trees.items()])
-        ls = np.concatenate([t.ls for t in trees.values()])
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, ls.size + 1, size, dtype=np.int32)), pa.array(ls.ravel()))
-        cols = [pa.array(s.tolist(), pa.string()), pa.array(np.full(len(s), part, np.int32)), pa.array(np.concatenate([t.n for t in trees.values()])), flat, pa.array(np.concatenate([t.ss for t in trees.values()]))]
-        return cols, names
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, t.ls.size + 1, size, dtype=np.int32)), pa.array(t.ls.ravel()))
+        whole = lambda x: pa.array(np.full(len(t.n), x, np.int32))
+        return pa.table([whole(cell), whole(bucket), pa.array(t.n), flat, pa.array(t.ss)], names=_ENTRY.names)
 
-    names = ["stratum", "part", "n", "ls", "ss"]
-
-    def condense(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        trees: dict = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = matrix(b.column(1), size).astype(np.float64)
-            s = np.array(b.column(0).to_pylist(), object)
-            for k in sorted(set(s)):
-                y = x[s == k]
-                trees.setdefault(k, CFTree(size, most_entries)).add(np.ones(len(y)), y, (y * y).sum(1))
-        if trees:
-            yield pa.RecordBatch.from_arrays(pack(trees, TaskContext.get().partitionId() % fan, names)[0], names=names)
+    def condense(table):
+        table = table.sort_by("key")
+        cell, bucket = table.column("cell")[0].as_py(), table.column("bucket")[0].as_py()
+        x = matrix(table.column("vec").combine_chunks(), size).astype(np.float64)
+        t = tree(cell)
+        t.add(np.ones(len(x)), x, (x * x).sum(1))
+        return packed(t, cell, bucket)
 
     def read(table):
         ls = table.column("ls").combine_chunks().flatten().to_numpy().reshape(-1, size)
         n, ss = table.column("n").to_numpy(), table.column("ss").to_numpy()
-        order = np.lexsort((ss, *ls.T[:4], -n))
+        order = np.lexsort((ss, *ls.T, -n))
         return n[order], ls[order], ss[order]
 
     def merge(table):
-        import pyarrow as pa
-
-        tree = CFTree(size, most_entries)
-        tree.add(*read(table))
-        return pa.table(pack({table.column("stratum")[0].as_py(): tree}, table.column("part")[0].as_py(), names)[0], names=names)
-
-    parts = cut(rows.select("stratum", "vec").mapInArrow(condense, shape).groupBy("stratum", "part").applyInArrow(merge, shape))
-    counts = {r[0]: int(r[1]) for r in parts.groupBy("stratum").agg(F.sum("n")).collect()}
-    quota = quotas(counts, int(spare * budget))
+        cell = table.column("cell")[0].as_py()
+        t = tree(cell)
+        t.add(*read(table))
+        return packed(t, cell, table.column("bucket")[0].as_py())
 
     def group(table):
         import pyarrow as pa
 
-        k = quota[table.column("stratum")[0].as_py()]
-        tree = CFTree(size, max(most_entries, 3 * k))
-        tree.add(*read(table))
-        # the logarithm of the count as weight: a large group of look-alikes is not cut into many
-        g = ward(1 + np.log(tree.n), tree.ls / tree.n[:, None], k)
-        n = np.bincount(g, tree.n)
-        ls = np.zeros((len(n), size))
-        np.add.at(ls, g, tree.ls)
-        centre = ls / n[:, None]
-        # the entry of the group nearest to its centre stands for it: a centre of scattered entries
-        # lies near the origin, where records of large groups would be nearest
-        held = tree.ls / tree.n[:, None]
-        d = ((held - centre[g]) ** 2).sum(1)
-        first = np.lexsort((np.arange(len(g)), d, g))
-        centre = held[first[np.concatenate([[True], np.diff(g[first]) > 0])]]
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, centre.size + 1, size, dtype=np.int32)), pa.array(centre.ravel()))
-        s = table.column("stratum")[0].as_py()
-        return pa.table([pa.array([s] * len(n), pa.string()), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n), flat], names=["stratum", "group", "n", "centre"])
-
-    centre_shape = T.StructType([T.StructField("stratum", T.StringType()), T.StructField("group", T.IntegerType()), T.StructField("n", T.DoubleType()), T.StructField("centre", T.ArrayType(T.DoubleType()))])
-    found = parts.groupBy("stratum").applyInArrow(group, centre_shape).toPandas() if counts else None
-    centres: dict = {}
-    sizes: dict = {}
-    if found is not None:
-        for s, f in found.sort_values(["stratum", "group"]).groupby("stratum"):
-            centres[s] = np.stack(f["centre"].to_numpy())
-            sizes[s] = f["n"].to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast((centres, sizes))
-    best = T.StructType([T.StructField("stratum", T.StringType()), T.StructField("group", T.IntegerType()), T.StructField("dist", T.DoubleType()), T.StructField("key", key_type), T.StructField("vec", T.ArrayType(T.FloatType()))])
-
-    def nearest(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = matrix(b.column(2), size)
-            s = np.array(b.column(1).to_pylist(), object)
-            row, grp, dist = [], [], []
-            for k in set(s):
-                own = np.nonzero(s == k)[0]
-                c = shared.value[0][k]
-                d = (c * c).sum(1)[:, None] - 2 * c @ x[own].T.astype(np.float64) + 1
-                top = np.argsort(d, axis=1, kind="stable")[:, :3]
-                row.append(own[top].ravel())
-                grp.append(np.repeat(np.arange(len(c)), top.shape[1]))
-                dist.append(np.round(np.take_along_axis(d, top, 1), 9).ravel())
-            row, grp, dist = np.concatenate(row), np.concatenate(grp), np.concatenate(dist)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(1).take(take), pa.array(grp.astype(np.int32)), pa.array(dist), b.column(0).take(take), lists(x[row])], names=best.names)
-
-    from pyspark.sql import Window
-
-    near = rows.mapInArrow(nearest, best)
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("stratum", "group").orderBy("dist", "key"))).where("r <= 3")
-    chosen = T.StructType([T.StructField("key", key_type), T.StructField("stratum", T.StringType()), T.StructField("turn", T.IntegerType()), T.StructField("group_size", T.LongType())])
-
-    def order(table):
-        import pyarrow as pa
-
-        s = table.column("stratum")[0].as_py()
-        t = table.sort_by([("r", "ascending"), ("group", "ascending")])
-        keys, grp = t.column("key").to_pylist(), t.column("group").to_numpy()
-        x = matrix(t.column("vec").combine_chunks(), size)
-        taken: dict = {}
-        seen = set()
-        for i, (k, g) in enumerate(zip(keys, grp.tolist())):
-            if g not in taken and k not in seen:
-                taken[g] = i
-                seen.add(k)
-        idx = np.array(list(taken.values()))
-        n = shared.value[1][s][np.array(list(taken))]
-        y = x[idx].astype(np.float64)
-        turn = [int(n.argmax())]
-        far = ((y - y[turn[0]]) ** 2).sum(1)
-        while len(turn) < len(y):
-            far[turn] = -1
-            i = int(far.argmax())
-            turn.append(i)
-            far = np.minimum(far, ((y - y[i]) ** 2).sum(1))
-        kind = table.schema.field("key").type
-        return pa.table([pa.array([keys[idx[i]] for i in turn], kind), pa.array([s] * len(turn), pa.string()), pa.array(np.arange(len(turn), dtype=np.int32)), pa.array(np.round(n[turn]).astype(np.int64)), lists(x[idx[turn]])], names=[*chosen.names, "vec"])
-
-    offered = T.StructType([*chosen.fields, T.StructField("vec", T.ArrayType(T.FloatType()))])
-    final = T.StructType([*chosen.fields[:2], T.StructField("selection_order", T.IntegerType()), T.StructField("group_size", T.LongType())])
-
-    def take(table):
-        import pyarrow as pa
-
-        t = table.sort_by([("turn", "ascending"), ("stratum", "ascending")])
-        x = matrix(t.column("vec").combine_chunks(), size)
-        like = x @ x.T > alike
-        first: list[int] = []
-        for i in range(len(x)):
-            if len(first) < budget and not like[i, first].any():
-                first.append(i)
-        rest = [i for i in range(len(x)) if i not in set(first)]
-        t = t.take(pa.array(first + rest[: budget - len(first)], pa.int64()))
-        return pa.table([t.column("key"), t.column("stratum"), pa.array(np.arange(t.num_rows, dtype=np.int32)), t.column("group_size")], names=final.names)
-
-    # at most ``spare`` times ``budget`` rows meet in one task
-    out = cut(near.drop("dist").groupBy("stratum").applyInArrow(order, offered).groupBy(F.lit(0).alias("all")).applyInArrow(take, final))
-    have = out.count()
-    missing = min(budget, sum(counts.values())) - have
-    if missing <= 0:
-        return out
-
-    # fewer groups than the budget: their next nearest records follow, group by group in turns
-    spot = T.StructType([*best.fields[:4], T.StructField("group_size", T.LongType())])
+        cell = table.column("cell")[0].as_py()
+        n, ls, _ = read(table)
+        final = wanted[cell] <= cap or len(n) <= cap
+        label, turn = ward(n, ls / n[:, None], min(wanted[cell], len(n)) if final else max(2, most_entries // 8))
+        total = np.zeros((len(turn), size))
+        np.add.at(total, label, ls)
+        centre = total / np.bincount(label, n)[:, None]
+        whole = lambda x: pa.array(np.asarray(x, np.int32))
+        return pa.table([whole(np.full(len(n), cell)), pa.array(np.full(len(n), final)), whole(label), whole(turn[label]), lists(ls / n[:, None]), lists(centre[label])], names=_GROUPED.names)
+
+    buckets = max(1, -(-largest // bucket_rows))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+    parts = rows.select("cell", bucket, "key", "vec").groupBy("cell", "bucket").applyInArrow(condense, _ENTRY)
+    while buckets > 1:
+        parts = cut(parts).withColumn("bucket", F.floor(F.col("bucket") / fan).cast("int")).groupBy("cell", "bucket").applyInArrow(merge, _ENTRY)
+        buckets = -(-buckets // fan)
+    return store(parts.groupBy("cell").applyInArrow(group, _GROUPED))
+
+
+def _assigned(rows, entries, first, last, size, key_type):
+    """(cell, group, stratum, key, dist, vec): the group of each record's nearest entry, and the distance to the group's centre."""
+    part = entries.where(F.col("cell").between(first, last)).select("cell", "group", "entry", "centre").toArrow()
+    cell = part.column("cell").to_numpy()
+    every = (part.column("group").to_numpy(), matrix(part.column("entry").combine_chunks(), size), matrix(part.column("centre").combine_chunks(), size))
+    shared = rows.sparkSession.sparkContext.broadcast({int(c): tuple(x[cell == c] for x in every) for c in np.unique(cell)})
+    shape = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("group", T.IntegerType()), T.StructField("stratum", T.StringType()), T.StructField("key", key_type), T.StructField("dist", T.DoubleType()), T.StructField("vec", T.ArrayType(T.FloatType()))])
 
     def assign(batches):
         import pyarrow as pa
@@ -375,25 +373,72 @@ def varied_subset(df: DataFrame, key: str, stratum: str, vector: str, size: int,
         for b in batches:
             if not b.num_rows:
                 continue
-            x = matrix(b.column(2), size).astype(np.float64)
-            s = np.array(b.column(1).to_pylist(), object)
-            grp, dist, n = np.zeros(len(s), np.int32), np.zeros(len(s)), np.zeros(len(s), np.int64)
-            for k in set(s):
-                own = np.nonzero(s == k)[0]
-                c = shared.value[0][k]
-                d = (c * c).sum(1) - 2 * x[own] @ c.T + 1
-                grp[own] = d.argmin(1)
-                dist[own] = np.round(d.min(1), 9)
-                n[own] = np.round(shared.value[1][k][grp[own]])
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(grp), pa.array(dist), b.column(0), pa.array(n)], names=spot.names)
-
-    def follow(table):
-        import pyarrow as pa
-
-        t = table.sort_by([("r", "ascending"), ("stratum", "ascending"), ("group", "ascending")])
-        return pa.table([t.column("key"), t.column("stratum"), pa.array(np.arange(have, have + t.num_rows, dtype=np.int32)), t.column("group_size")], names=final.names)
-
-    rest = rows.join(out.select("key"), "key", "left_anti").select("key", "stratum", "vec").mapInArrow(assign, spot)
-    rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("stratum", "group").orderBy("dist", "key"))).where(F.col("r") <= missing)
-    rest = rest.orderBy("r", "stratum", "group").limit(missing)
-    return out.unionByName(rest.groupBy(F.lit(0).alias("all")).applyInArrow(follow, final))
+            cells = b.column(0).to_numpy()
+            x = matrix(b.column(3), size)
+            grp, dist = np.zeros(len(cells), np.int32), np.zeros(len(cells))
+            for c in np.unique(cells):
+                own = np.nonzero(cells == c)[0]
+                label, entry, centre = shared.value[int(c)]
+                half = (entry * entry).sum(1) / 2
+                for s in range(0, len(own), 2048):
+                    r = own[s : s + 2048]
+                    at = (np.round(half - x[r] @ entry.T, 5)).argmin(1)
+                    grp[r] = label[at]
+                    dist[r] = np.round(((x[r].astype(np.float64) - centre[at]) ** 2).sum(1), 9)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grp), b.column(1), b.column(2), pa.array(dist), b.column(3)], names=shape.names)
+
+    return rows.where(F.col("cell").between(first, last)).select("cell", "stratum", "key", "vec").mapInArrow(assign, shape)
+
+
+def _chosen(spots, groups, budget, final):
+    """The record nearest to the centre of each group in the order of the groups' turns; then what fills the budget up."""
+    by = ["cell", "group"]
+    best = F.min(F.struct("dist", "key", "stratum")).alias("m")
+    first = spots.groupBy(*by).agg(best, F.count(F.lit(1)).alias("group_size")).join(groups, by)
+    first = store(first.select(*by, "turn", F.col("m.key").alias("key"), F.col("m.stratum").alias("stratum"), "group_size"))
+    first = _reach(spots, first, by)
+    have = first.count()
+    out = first.withColumn("r", F.lit(0).cast("bigint"))
+    if have < budget:
+        # ranks of the others within their groups, and how many turns all groups can take
+        rest = numbered(spots.join(first.select("key"), "key", "left_anti").select(*by, "dist", "key", "stratum"), *by, "dist", "key")
+        sizes = rest.groupBy(*by).agg(F.count(F.lit(1)).alias("s"), F.min("position").alias("_first"))
+        counts = sorted((r["s"], r["g"]) for r in sizes.groupBy("s").agg(F.count(F.lit(1)).alias("g")).collect())
+        missing, turns, open_ = budget - have, 0, sum(g for _, g in counts)
+        for s, g in counts:
+            if open_ * (s - turns) > missing:
+                break
+            missing -= open_ * (s - turns)
+            turns, open_ = s, open_ - g
+        if open_:
+            turns, missing = turns + missing // open_, missing % open_
+        rest = rest.join(sizes, by).withColumn("r", F.col("position") - F.col("_first") + 1).where(F.col("r") <= turns + 1)
+        rest = store(rest.join(first.select(*by, "turn", "group_size"), by).select(*by, "turn", "key", "stratum", "group_size", "r"))
+        last = numbered(rest.where(F.col("r") == turns + 1), "turn", "cell").where(F.col("position") < missing).drop("position")
+        out = out.select(*rest.columns).unionByName(rest.where(F.col("r") <= turns)).unionByName(last)
+    out = numbered(out, "r", "turn", "cell")
+    return out.select("key", "stratum", F.col("position").cast("int").alias("selection_order"), "group_size").to(final)
+
+
+def _reach(spots, first, by):
+    """``first`` with a record of each stratum that none of its groups chose, where one can give way."""
+    have = {r["stratum"]: r["count"] for r in first.groupBy("stratum").count().collect()}
+    lacking = sorted(r["stratum"] for r in spots.select("stratum").distinct().collect() if r["stratum"] not in have)
+    if not lacking:
+        return first
+    near = spots.where(F.col("stratum").isin(lacking)).groupBy("stratum", *by).agg(F.min(F.struct("dist", "key")).alias("m"))
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("m", *by))).where("r <= 64")
+    near = near.join(first.select(*by, F.col("stratum").alias("own")), by).orderBy("stratum", "r").collect()
+    swaps: dict = {}
+    for s in lacking:
+        for r in near:
+            if r["stratum"] == s and (r["cell"], r["group"]) not in swaps and have[r["own"]] > 1:
+                swaps[r["cell"], r["group"]] = (r["m"]["key"], s)
+                have[r["own"]] -= 1
+                break
+    if not swaps:
+        return first
+    shape = T.StructType([*(first.schema[c] for c in by), T.StructField("_k", first.schema["key"].dataType), T.StructField("_s", T.StringType())])
+    new = first.sparkSession.createDataFrame([(*g, *k) for g, k in swaps.items()], shape)
+    out = first.join(F.broadcast(new), by, "left")
+    return store(out.select(*by, "turn", F.coalesce("_k", "key").alias("key"), F.coalesce("_s", "stratum").alias("stratum"), "group_size"))
