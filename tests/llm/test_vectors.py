@@ -64,6 +64,23 @@ def test_recall_when_relaxed(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_k_come_out_without_a_floor(spark):
+    """However relaxed the search and small the shards, every key has k neighbours, most of them right."""
+    rows = groups([1] * 400 + [3] * 60)
+    got = neighbours.nearest_vectors(frame(spark, rows).repartition(4), "k", "v", D, k=5, shard_rows=8, relax=6.0).collect()
+    assert len(got) == 5 * len(rows) and len({(r.key, r["rank"]) for r in got}) == len(got)
+    want = brute(rows, 5)
+    assert len({(r.key, r.other) for r in got} & want) >= 0.9 * len(want)
+    few = neighbours.nearest_vectors(frame(spark, rows[:4]), "k", "v", D, k=5, shard_rows=1).collect()
+    assert len(few) == 12
+
+
+def test_the_sample_of_the_top_tree_is_bounded_by_its_threshold(spark):
+    rows = groups([1] * 500)
+    some = neighbours.nearest_vectors(frame(spark, rows), "k", "v", D, k=2, shard_rows=32, sample_rows=100, relax=1.0).collect()
+    assert {(r.key, r.other) for r in some} == brute(rows, 2)
+
+
 def test_copies_ties_and_repeats(spark):
     same = [(f"c{i:03d}", [1.0] + [0.0] * (D - 1)) for i in range(40)]
     rows = same + [("near", [1.0, 0.1] + [0.0] * (D - 2))]

@@ -49,6 +49,14 @@ def p3_found(spark, d):
     return n.select(F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
 
 
+def p3_nearest(spark, d):
+    """The five most similar vectors of every vector, however similar; (key, rank, other, similarity)."""
+    from thicketry.llm import neighbours
+
+    n = neighbours.nearest_vectors(_compatible(spark, d), "sample_key", "proto", 128, k=5)
+    return n.select(F.col("key").alias("sample_key"), "rank", "other", F.round("similarity", 5).alias("similarity"))
+
+
 def _clusters(spark, d):
     from thicketry.llm import grouping
 
