@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from thicketry.llm import catalog, mixing, overlap, stable
+from thicketry.llm import catalog, mixing, overlap, queries, stable
 
 # Problem 1
 
@@ -79,18 +79,21 @@ def test_subsets_are_told_by_other_fields(spark):
 
 # Problem 2
 
-LETTERS = sorted(overlap.MARK_LETTERS)
+LETTERS = sorted(queries._MARK_LETTERS)
+FORM = queries.name_form()
 
 
 def test_parse():
     one = [("moss moth pool".split(), "zqz9dqmbbjccgf")]
     words, mark = one[0]
-    want = [(mark, " ".join(words))]
+    want = ((mark, " ".join(words)),)
     for name in (f"moth-moss-pool-{mark}", f"IMG_MOTH_MOSS_POOL_{mark.upper()}", f"copy of {mark} moth.moss.pool (2)", f"móth-moss-pool-{mark}-640x480", f"MothMossPool{mark.capitalize()}", "ｍｏｔｈ-moss-pool-ｚｑｚ９ｄｑｍｂｂｊｃｃｇｆ", f"moth%20moss+pool~{mark}@2x", f"{mark.capitalize()}PoolMossMoth - Kopie"):
-        assert overlap.parse(name) == want, name
-    assert overlap.parse("b" * 300_000) == [] and overlap.parse("%62" * 300) == []
-    assert overlap.parse("frame001993348") == [] and overlap.parse("img005483485") == [] and overlap.parse("") == []
-    assert (mark, "=mothmosspool" + mark) in overlap.parse("mothmosspool" + mark)
+        assert overlap.parse(name, FORM) == want, name
+    assert not any(overlap.parse(x, FORM) for x in ("b" * 300_000, "%62" * 300, "frame001993348", "img005483485", ""))
+    assert (mark, "=mothmosspool" + mark) in overlap.parse("mothmosspool" + mark, FORM)
+    assert overlap.parse("Two_old-owls (3)", overlap.NameForm(added=FORM.added, whole=True)) == (("oldowlstwo", ""),)
+    one, two = "mothmosspool" + mark, mark + "mothmosspoolxyz"
+    assert overlap.name_distance(mark, "=" + one, mark, "=" + two) == 0 and overlap.name_distance(mark, "=" + one, mark, "=gnatmudreef" + mark) > 2
 
 
 def test_code_radius():
@@ -139,10 +142,37 @@ def test_overlaps(spark, crowd):
     rows += [(0, False, names[0]), (2000, False, names[2]), (3000, True, None), (3001, None, names[2]), (None, True, names[2]), (3002, True, "frame000111"), (3003, True, "gecko-moss-reef-zqzvdqmbbbbbbb")]
     want.add((2000, 1002))
     df = spark.createDataFrame(rows, "item int, evaluation boolean, name string").withColumn("id", F.lit(1)).withColumn("mark", F.lit("x"))
-    got = {tuple(r) for r in overlap.cross_split_overlaps(df.repartition(3), crowd=crowd).collect()}
+    got = {tuple(r) for r in overlap.cross_split_overlaps(df.repartition(3), FORM, crowd=crowd).collect()}
     assert len(want - got) <= 0, [(rows[a][2], dict((r[0], r[2]) for r in rows)[b]) for a, b in want - got][:5]
     assert not got - want
-    assert overlap.cross_split_overlaps(df.where("not evaluation")).count() == 0 and overlap.cross_split_overlaps(df.limit(0)).count() == 0
+    assert overlap.cross_split_overlaps(df.where("not evaluation"), FORM).count() == 0 and overlap.cross_split_overlaps(df.limit(0), FORM).count() == 0
+    # the code decides which pairs are compared: within radius zero only names with equal letter pairs meet
+    assert overlap.overlap_links(df, FORM, crowd, radius=0)[1].count() < overlap.overlap_links(df, FORM, crowd)[1].count()
+    sides = df.select("item", F.when(F.col("item") % 2 == 0, "even").otherwise("odd").alias("kind")).where("item is not null").distinct()
+    counts = overlap.overlap_counts(df, FORM, sides, ["kind"], crowd)
+    by = Counter((("even", "odd")[a % 2], ("even", "odd")[b % 2]) for a, b in want)
+    assert {(r.train_kind, r.eval_kind): r.pairs for r in counts.collect()} == by
+
+
+def test_names_of_another_form(spark):
+    """Without marks, whole names match within two edits, in any order of their parts; short ones only if equal."""
+    rng = random.Random(11)
+    form = overlap.NameForm(letters=frozenset("#"), added=FORM.added, whole=True)
+    words = "amber birch cloud dusty ember fjord glade heath islet kelpy linen mossy north ocean plume quill ridge stone tidal umber".split()
+    names = ["_".join(rng.sample(words, 5)) for _ in range(150)]
+    rows = [(i, False, n) for i, n in enumerate(names)] + [(900, False, "ab_cd")]
+    want = set()
+    for i in range(0, 150, 3):
+        parts = names[i].split("_")
+        parts[rng.randrange(5)] += "s"
+        rng.shuffle(parts)
+        rows.append((1000 + i, True, "-".join(parts)))
+        want.add((i, 1000 + i))
+    rows += [(2000, True, "cd-AB"), (2001, True, "ab_ce")]
+    want.add((900, 2000))
+    df = spark.createDataFrame(rows, "item int, evaluation boolean, name string")
+    for crowd in (2_000, 0):
+        assert {tuple(r) for r in overlap.cross_split_overlaps(df, form, crowd).collect()} == want
 
 
 # Problem 4

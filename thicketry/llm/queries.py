@@ -101,29 +101,43 @@ def p1_sample(spark, d):
     return _mix(spark, d)[0]
 
 
-def _overlaps(spark, d):
-    from thicketry.llm import catalog, overlap
+#: How the catalog's names are built, and what is written before or behind them.
+_ADDED = r"^(?:copy|of|kopie|copie|copia|scan|final|tmp|temp|img|image|thumb|thumbnail|edit|edited|orig|original|resized|srgb|new|dup|crop\d*|v\d+|\d{1,4}|\d+x\d*|jpe?g|png|tiff?|webp|bmp|gif)$"
+_MARK_LETTERS = frozenset("23456789bcdfghjkmnpqrstvwxz")
 
-    rows = catalog.with_subset(table(spark, d, "image_catalog").select("item_id", "sample_key", "subset", "path"), table(spark, d, "subset_roles"))
+
+def name_form():
+    from thicketry.llm import overlap
+
+    return overlap.NameForm(letters=_MARK_LETTERS, added=_ADDED)
+
+
+def _names(spark, d):
+    """(catalog rows of a known role, their names by item and side)."""
+    from thicketry.llm import catalog
+
+    rows = catalog.with_subset(table(spark, d, "image_catalog").select("item_id", "sample_key", "subset", "path", "source"), table(spark, d, "subset_roles"))
     ending = r"(?i)\.(jpe?g|png|tiff?|bmp|webp|gif|heic)$"
     stem = F.regexp_replace(catalog.file_name(F.col("sample_key")), ending, "")
     file = F.regexp_replace(catalog.file_name(F.col("path")), ending, "")
     names = F.array_distinct(F.array_compact(F.array(stem, file)))
     rows = rows.where("role in ('train', 'val', 'test')")
-    return overlap.cross_split_overlaps(rows.select(F.col("item_id").alias("item"), (F.col("role") != "train").alias("evaluation"), F.explode(names).alias("name")))
+    return rows, rows.select(F.col("item_id").alias("item"), (F.col("role") != "train").alias("evaluation"), F.explode(names).alias("name"))
 
 
 def p2_found(spark, d):
-    return _overlaps(spark, d).select(F.least("item_train", "item_eval").alias("item_a"), F.greatest("item_train", "item_eval").alias("item_b"))
+    from thicketry.llm import overlap
+
+    found = overlap.cross_split_overlaps(_names(spark, d)[1], name_form())
+    return found.select(F.least("item_train", "item_eval").alias("item_a"), F.greatest("item_train", "item_eval").alias("item_b"))
 
 
 def p2_counts(spark, d):
-    """Overlapping pairs by the subset and the source of the evaluation row."""
-    from thicketry.llm import catalog
+    """Overlapping pairs by the subset and the source of the training and of the evaluation row."""
+    from thicketry.llm import overlap
 
-    rows = catalog.with_subset(table(spark, d, "image_catalog").select("item_id", "sample_key", "subset", "path", "source"), table(spark, d, "subset_roles"))
-    found = _overlaps(spark, d).groupBy(F.col("item_eval").alias("item_id")).agg(F.count(F.lit(1)).alias("pairs"))
-    return found.join(rows, "item_id").groupBy(F.col("subset_name").alias("subset"), "role", "source").agg(F.sum("pairs").alias("pairs"), F.count(F.lit(1)).alias("rows"))
+    rows, names = _names(spark, d)
+    return overlap.overlap_counts(names, name_form(), rows.select(F.col("item_id").alias("item"), F.col("subset_name").alias("subset"), "source"), ["subset", "source"])
 
 
 def p4_found(spark, d):
