@@ -132,6 +132,40 @@ def test_chain_is_cut_into_similar_groups(spark):
         assert all(r.sim == pytest.approx(1, abs=1e-5) for r in c if r.key == r.root)
 
 
+def closest_pivot(rows):
+    """Whether no member has a pivot closer than its own."""
+    x, names = np.array([r.vec for r in rows]), [r.key for r in rows]
+    at = [i for i, r in enumerate(rows) if r.key == r.root]
+    s = x @ x[at].T
+    own = np.array([s[i, at.index(names.index(r.root))] for i, r in enumerate(rows)])
+    return (s.max(1) <= own + 1e-5).all()
+
+
+def test_members_go_to_their_closest_pivot_and_medoids_are_true(spark):
+    """Records spread evenly over a low sphere: clusters touch, and many members have several pivots like them."""
+    x = unit(np.random.default_rng(9).normal(size=(400, 3)))
+    rows = [(f"e{i:03d}", [*map(float, v), *[0.0] * (D - 3)]) for i, v in enumerate(x)]
+    c = grouping.similarity_clusters(frame(spark, rows).repartition(3), "k", "v", D, least=0.9, block_rows=60, cell_rows=16)
+    got = c.collect()
+    assert len(got) == 400 and min(r.sim for r in got) >= 0.9 - 1e-4 and closest_pivot(got)
+    members = {}
+    for r in got:
+        members.setdefault(r.root, []).append(r)
+    for d in grouping.describe_clusters(c, D).collect():
+        own = next(v for v in members.values() if any(r.key == d.medoid for r in v))
+        v = np.array([r.vec for r in own])
+        total = (v @ v.T).sum(1)
+        assert len(own) == d["size"] and total[[r.key for r in own].index(d.medoid)] >= total.max() - 1e-3
+
+
+def test_hot_roots_are_joined_with_salt(spark):
+    rows = spark.createDataFrame([(f"k{i}", "a" if i < 80 else f"k{i}") for i in range(100)], "key string, root string")
+    one = spark.createDataFrame([("a", 1), ("k90", 2)], "root string, v int")
+    for most in (0, 1 << 20):
+        got = {r.key: r.v for r in grouping._by_root(rows, one, most_bytes=most).collect()}
+        assert len(got) == 100 and sum(v == 1 for v in got.values()) == 80 and got["k90"] == 2 and got["k91"] is None
+
+
 def test_pivots_are_apart_however_few_the_rounds(spark):
     """With no or few rounds over anchors, and chains, no two pivots are similar and no member is unlike its pivot."""
     a = np.linspace(0, 3.0, 60)
