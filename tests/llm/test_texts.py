@@ -145,22 +145,54 @@ CASES = {
     "bullets": ("\n".join(f"- pale moth, kelp {i}" for i in range(9)), True), "numbers": ("\n".join(f"{i}. Seed set {i}" for i in range(1, 9)), True), "fields": ("subset: A\nn: 3\nscore: 0.2\n" * 5, True),
     "bare": ("ragged spider, rubble\nbroken snipe, twigs\nowlet map 12\nmottled toad, bark", True), "keywords": ("owlet shale prototype boundary woodcock note pool pebbles octopus grid lichen " * 4, True), "commas": ("cluster map 77, dim flounder, algae, pale sand, mask 192, " * 5, True),
     "repeats": ((PROSE.split(". ")[0] + ". ") * 8, True), "garbled": ("A¬ ¬he marsh nÃ|r �n§^§¤n§lµ ±Âe ~µt¤pu° ılp�¬s °°§ ¬r~¬| 1¤ °�Â 1et grÃµıl ı± ıel¶.", True), "log": ("[10:09:56] step=4399 loss=0.3130 cluster=ok\n[02:25:12] step=1695 loss=0.6955 mask=ok\n" * 4, True),
+    "swedish": ("Fjärilen sitter stilla på den gråa barken tills ljuset försvinner bakom skogen. Ingen hade väntat att fågeln skulle lämna sluttningen redan samma kväll.", False),
+    "greek": ("Η νυχτερινή ομάδα έγραψε ότι το ψηλό χορτάρι φαίνεται ανομοιόμορφο κοντά στο ποτάμι. Κανείς δεν περίμενε ότι το πουλί θα έφευγε από την πλαγιά.", False),
+    "hindi": ("रात की टीम ने लिखा कि लंबी घास असमान दिखती है और पतंगे को पहचानना कठिन है। किसी को उम्मीद नहीं थी कि पक्षी ढलान छोड़ देगा।", False),
     "mixed": (PROSE + "\n\n" + "\n".join(f"moss,{i},0.{i}" for i in range(60)), True), "little": (PROSE * 3 + "\n\n- a moth\n- a toad\n", False),
 }
 
 
+def one(text):
+    return {k: v[0] for k, v in quality.measure([text]).items()}
+
+
 @pytest.mark.parametrize("name", list(CASES))
 def test_prose_or_not(name):
     text, junk = CASES[name]
-    assert (quality.measure(text)["prose_share"] < 0.5) == junk, quality.measure(text)
+    assert (one(text)["prose_share"] < 0.5) == junk, one(text)
 
 
 def test_figures(spark):
-    assert quality.measure(None) is None and quality.measure(" \n\t") is None
-    m = quality.measure("One two, three.\nfour 5!")
+    m = one("One two, three.\nfour 5!")
     assert m["word_count"] == 4 and m["mean_word_length"] == pytest.approx(3.75) and m["line_count"] == 2 and m["end_punct_share"] == 1 and m["digit_share"] == pytest.approx(1 / 19)
     df = spark.createDataFrame([(1, PROSE, 9), (1, PROSE, 9), (2, None, 9), (3, "- a b\n- c d\n- e f", 9), (4, " ", 9)], "k bigint, t string, prose_share int")
     assert quality.text_quality(df, "k", "t").count() == 5
     assert [r.k for r in quality.not_prose(df, "k", "t").collect()] == [3]
     assert quality.not_prose(df.limit(0), "k", "t").count() == 0
-    assert quality.measure("word " * 200_000)["prose_share"] == 0
+    assert one("word " * 200_000)["prose_share"] == 0
+
+
+def test_whole_batches_give_the_figures_of_single_texts():
+    texts = [t for t, _ in CASES.values()]
+    all_ = quality.measure(texts)
+    for i, t in enumerate(texts):
+        for k, v in one(t).items():
+            assert all_[k][i] == pytest.approx(v), (k, t[:40])
+
+
+def test_signals():
+    run = np.zeros(4, np.int64)
+    even, _ = quality._alignment(quality._Strings(["ab | c", "xy | d", "zz | eeee", "no bar"]), run)
+    ragged, _ = quality._alignment(quality._Strings(["ab | c", "xyzzy | d", "z | e", "no bar"]), run)
+    assert even.tolist() == [1, 1, 1, 0] and ragged.tolist() == [0.6, 0.6, 0.6, 0]
+    share, period = quality._periodicity(np.array([5, 7, 5, 7, 5, 7, 0, 0, 0]), np.array([0] * 6 + [1] * 3), 2)
+    assert share.tolist() == [1, 0] and period[0] == 2
+    corr = quality._autocorrelation(np.array([10.0, 30, 10, 30, 10, 30, 20, 20, 20, 20, 5, 9, 70]), np.array([0] * 6 + [1] * 4 + [2] * 3), 3)
+    assert corr[0] > 0.9 and corr[1] == 1 and corr[2] == 0
+
+
+def test_autocorrelation_decides_which_lines_are_a_list():
+    """Lines of like length and no end read as one long piece of prose but for the signal."""
+    text = "\n".join(f"{a} {b} 与 沙地" for a, b in zip(["飞蛾掩膜", "蟾蜍边界", "螃蟹样本", "雷鸟标注"] * 3, ["积雪苔藓", "砂石海藻", "树皮落叶"] * 4))
+    assert one(text)["list_share"] == 1
+    assert quality.measure([text], (0.5, 0.5, 0, 0))["list_share"][0] == 0
