@@ -45,6 +45,12 @@ def bce(p: Column | str, target: Column | str, eps: float = EPS) -> Column:
     return -(col(target) * F.log(q) + (1 - col(target)) * F.log(1 - q))
 
 
+def bce_logit(logit: Column | str, target: Column | str) -> Column:
+    """Cross-entropy of a logit, in the form that cannot overflow."""
+    x = col(logit)
+    return F.greatest(x, F.lit(0.0)) - x * col(target) + F.log1p(F.exp(-F.abs(x)))
+
+
 def confidence(p, contradiction, mix_entropy, route, shift) -> Column:
     """Product of five factors: decidedness, agreement, mixture certainty, route, and small displacement."""
     return F.abs(2 * col(p) - 1) * (1 - col(contradiction)) * (1 - col(mix_entropy)) * col(route) * (0.5 + 0.5 * F.exp(-F.abs(col(shift)) / 0.25))

@@ -97,6 +97,34 @@ def bounded_top(df: DataFrame, group: str, score: Column, tie: str, ratio: float
     return df.withColumn("_w", F.least(F.greatest(want.cast("bigint"), F.lit(least)), F.lit(most), n)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("_w")).drop("_w")
 
 
+def threshold_top(df: DataFrame, group: str, score: str, tie: str, threshold: float, ratio: float, least: int, most: int) -> DataFrame:
+    """Rows of each group with a score from ``threshold`` up, the best ``most`` of them; where fewer than ``least``, those of ``bounded_top``."""
+    by = Window.partitionBy(group)
+    n, over = F.count(F.lit(1)).over(by), F.count(F.when(F.col(score) >= threshold, 1)).over(by)
+    fall_back = F.least(F.greatest(F.lit(least), F.bround(n * ratio).cast("bigint")), F.lit(most), n)
+    want = F.when(over < least, fall_back).otherwise(F.least(over, F.lit(most)))
+    w = by.orderBy(F.desc(score), tie)
+    return df.withColumn("_w", want).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("_w")).drop("_w")
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Adds ``rank`` from 1 within each group, from numbers over ranges: a group however large is not ranked in one task."""
+    from thicketry.operators.relations import numbered
+
+    n = numbered(df, *group, *order)
+    first = n.groupBy(*group).agg(F.min("position").alias("_first"))
+    return n.join(first, group).withColumn("rank", F.col("position") - F.col("_first") + 1).drop("position", "_first")
+
+
+def equal_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
+    """(key, shard): keys dealt out in order; the last keys that do not fill a round are left out."""
+    from thicketry.operators.relations import numbered
+
+    n = df.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    rows = numbered(df.select(key), key).crossJoin(F.broadcast(n)).where(F.col("position") < F.col("_n") - F.pmod("_n", F.lit(shards)))
+    return rows.select(key, F.pmod("position", F.lit(shards)).cast("int").alias("shard"))
+
+
 def region_sample(df: DataFrame, group: list[str], score: str, place: str, ratio: float, least: int, most: int) -> DataFrame:
     """From each region min(size, most, max(least, round(size x ratio))) rows by score, ties by place."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*group))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ("catalog", "vectors", "selection", "retrieval", "maps", "measures")
+SUBJECTS = ("catalog", "vectors", "selection", "retrieval", "maps", "measures", "evaluation", "banks", "batches")
 _QUERIES: dict = {}
 _SQL: dict = {}
 

@@ -59,6 +59,8 @@ for _n, (_s, _t, _c, _a, _e) in FORMS.items():
 
 _ER = "least(" + ",".join(_at("m", dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) + ")"
 _DI = "greatest(" + ",".join(_at("m", dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) + ")"
+#: Whether cell i of mask m is at the boundary, on either side.
+_AT_EDGE = f"CASE WHEN m[i+1]>0 THEN {_ER}=0 ELSE {_DI}>0 END"
 _REGION = f"{_MAPS}, k AS (SELECT vec_id, p, list_transform(p, lambda x: CASE WHEN x>0.5 THEN 1 ELSE 0 END) AS m FROM g), rr AS (SELECT vec_id, p, list_transform(range(64), lambda i: CASE WHEN m[i+1]>0 THEN CASE WHEN {_ER}>0 THEN 0 ELSE 2 END WHEN {_DI}>0 THEN 3 ELSE 1 END) AS r FROM k), z AS (SELECT vec_id, i::INT AS cell, r[i+1]::INT AS region, abs(2*p[i+1]-1) AS reliability FROM rr, (SELECT unnest(range(64)) i))"
 
 
