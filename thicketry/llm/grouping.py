@@ -203,7 +203,7 @@ def _closest(rows: DataFrame, pivots: DataFrame, least: float, size: int, cell_r
     """
     # float products of unit vectors can be off by some 1e-6: the angle is taken a little wider
     angle = rows.where("key <> root").groupBy("root").agg((F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("sim") - 1e-5)))).alias("far"))
-    reach = pivots.select(F.col("key").alias("root"), "vec").join(angle, "root", "left").select(F.col("root").alias("key"), "vec", F.cos(F.least(F.lit(np.pi), 2 * F.col("far"))).alias("hash"))
+    reach = pivots.select(F.col("key").alias("root"), "vec").join(angle, "root", "left").select(F.col("root").alias("key"), "vec", F.when(F.col("far").isNotNull(), F.cos(F.least(F.lit(np.pi), 2 * F.col("far")))).alias("hash"))
     n = pivots.count()
     sent = reach.select(F.lit(0).alias("cell"), "key", "hash", "vec") if n <= 2 * cell_rows else _all_pairs(reach, max(2, -(-n // (2 * cell_rows))))
     key_type = pivots.schema["key"].dataType
