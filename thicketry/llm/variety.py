@@ -206,7 +206,7 @@ def quotas(sizes: dict, budget: int) -> dict:
     return left
 
 
-def varied_subset(df: DataFrame, key: str, stratum: str, vector: str, size: int, budget: int, most_entries: int = 2048, bucket_rows: int = 16_384, fan: int = 16, threshold: float = 0.36, block_bytes: int = 64 << 20) -> DataFrame:
+def varied_subset(df: DataFrame, key: str, stratum: str, vector: str, size: int, budget: int, most_entries: int = 2048, bucket_rows: int = 6_144, fan: int = 16, threshold: float = 0.36, block_bytes: int = 64 << 20) -> DataFrame:
     """(key, stratum, selection_order, group_size): exactly ``budget`` records in an order of acquisition.
 
     Null, short, non-finite and zero vectors and null keys are left out; a key counts once, with its
