@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,9 +148,10 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     A text holds an item if it has ``least`` consecutive words of it, or all its words if it has
     fewer; ``spans`` are the merged hits as (first, last + 1) word numbers. Null and empty texts and
     passages hold nothing; repeated rows of a text have rows of their own; two items with the same
-    passage are both reported; if both keys have one name, that of the items gets ``_item`` behind it. The items are sent to the tasks in blocks of at most about
-    ``block_chars`` characters, one pass over the corpus each, whose number comes from a count
-    first; the corpus is neither shuffled nor collected.
+    passage are both reported; if both keys have one name, that of the items gets ``_item`` behind it. The items are broadcast in blocks of at most about
+    ``block_chars`` characters, whose number comes from a count first; a shard is read and cut into
+    words once, and searched for the phrases of one block after another. The corpus is neither
+    shuffled nor collected.
     """
     items = items.select(F.col(item_key).alias("_item"), F.col(passage).alias("_passage")).where(F.length("_passage") > 0).distinct()
     if item_key == key:
@@ -164,29 +166,26 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
             T.StructField("n_words", T.IntegerType()),
         ]
     )
-    out = None
-    for b in range(blocks):
-        part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("_passage"), F.lit(blocks)) == b).collect()]
-        found = docs.select(key, text).mapInPandas(_search(docs.sparkSession, part, least, shard_words, key, item_key), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    send = docs.sparkSession.sparkContext.broadcast
+    shared = [send([tuple(r) for r in items.where(F.pmod(F.xxhash64("_passage"), F.lit(blocks)) == b).collect()]) for b in range(blocks)]
+    return docs.select(key, text).mapInPandas(_search(shared, least, shard_words, key, item_key), schema)
 
 
-def _search(spark, items, least, shard_words, key, item_key):
-    shared = spark.sparkContext.broadcast(items)
-
+def _search(shared, least, shard_words, key, item_key):
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        items = shared.value
-        ids, phrases = phrases_of(items, least)
-        if not phrases:
-            return
-        size, shortest = len(ids) + 2, min(phrases)
-        get = ids.get
+        held_block: dict = {}
+
+        def block(i):
+            """(items, ids, phrases) of a block; only the last one used is kept."""
+            if i not in held_block:
+                held_block.clear()
+                held_block[i] = (shared[i].value, *phrases_of(shared[i].value, least))
+            return held_block[i]
 
-        def flush(parts, owners, firsts, keys):
-            """Indexes what has gathered and yields its hits."""
+        def hits(items, phrases, size, parts, owners, firsts, keys):
+            """Indexes the runs of words that phrases can stand in, and gives the items found in each text."""
             seq = np.concatenate(parts)
             lengths = [len(p) for p in parts]
             owner = np.repeat(np.array(owners), lengths)
@@ -226,30 +225,48 @@ def _search(spark, items, least, shard_words, key, item_key):
                 rows.append((keys[doc[g0]], items[item[g0]][0], [{"first": f, "end": e} for f, e in spans], sum(e - f for f, e in spans)))
             return pd.DataFrame(rows, columns=[key, item_key, "spans", "n_words"])
 
-        parts, owners, firsts, keys, held = [], [], [], [], 0
         sep = np.array([1])
+
+        def flush(texts, vocabulary):
+            """Searches a shard for the phrases of every block. ``texts`` are keys with the numbers of their words."""
+            for i in range(len(shared)):
+                items, ids, phrases = block(i)
+                if not phrases:
+                    continue
+                shortest = min(phrases)
+                of = np.fromiter((ids.get(w, 1) for w in vocabulary), np.int64, len(vocabulary))
+                parts, owners, firsts, keys = [], [], [], []
+                for k, numbers in texts:
+                    if len(numbers) < shortest:
+                        continue
+                    arr = of[numbers]
+                    edge = np.diff(np.concatenate([[0], (arr > 1).astype(np.int8), [0]]))
+                    starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+                    long = ends - starts >= shortest
+                    for s, e in zip(starts[long], ends[long]):
+                        parts += [arr[s:e], sep]
+                        owners += [len(keys)] * 2
+                        firsts += [s, 0]
+                    if long.any():
+                        keys.append(k)
+                if parts and (x := hits(items, phrases, len(ids) + 2, parts, owners, firsts, keys)) is not None:
+                    yield x
+
+        texts, held = [], 0
+        vocabulary: dict[str, int] = defaultdict()
+        vocabulary.default_factory = vocabulary.__len__
         for pdf in batches:
             for k, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
                 w = words(t)
-                if len(w) < shortest:
-                    continue
-                arr = np.fromiter((get(x, 1) for x in w), np.int64, len(w))
-                edge = np.diff(np.concatenate([[0], (arr > 1).astype(np.int8), [0]]))
-                starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-                long = ends - starts >= shortest
-                if not long.any():
+                if not w:
                     continue
-                for s, e in zip(starts[long], ends[long]):
-                    parts += [arr[s:e], sep]
-                    owners += [len(keys)] * 2
-                    firsts += [s, 0]
-                    held += e - s + 1
-                keys.append(k)
+                texts.append((k, np.fromiter(map(vocabulary.__getitem__, w), np.int32, len(w))))
+                held += len(w)
                 if held >= shard_words:
-                    if (x := flush(parts, owners, firsts, keys)) is not None:
-                        yield x
-                    parts, owners, firsts, keys, held = [], [], [], [], 0
-        if parts and (x := flush(parts, owners, firsts, keys)) is not None:
-            yield x
+                    yield from flush(texts, vocabulary)
+                    texts, held = [], 0
+                    vocabulary.clear()
+        if texts:
+            yield from flush(texts, vocabulary)
 
     return run
