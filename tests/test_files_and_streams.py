@@ -20,7 +20,7 @@ def test_catalog_scan_and_masks(spark, tmp_path):
     cat = files.build_catalog(spark, [f"file://{root}"])
     assert [r.sample_key for r in cat.collect()] == ["A/x", "A/y", "B/x"]
     d = {r.mask_key for r in files.mask_dictionary(files.scan_images(spark, [f"file://{root}"])).collect()}
-    assert d == {"A/x", "A/y", "B/x", "y"}
+    assert d == {"A/x", "A/y", "B/x", "y", "im/x", "im/y"}
     image(f"{root}/A/im/x.jpg")
     with pytest.raises(ValueError, match="repeated keys"):
         files.build_catalog(spark, [f"file://{root}"])
@@ -146,3 +146,32 @@ def test_stored_tables_need_a_shared_folder(spark, monkeypatch):
         session.shared_dir(Session())
     df = session.store(spark.range(5))
     assert df.count() == 5 and "tables-" + spark.sparkContext.applicationId in df.inputFiles()[0]
+
+
+def test_load_split_names_all_that_is_wrong(spark, tmp_path):
+    cat = spark.createDataFrame([("a",), ("b",), ("c",)], "sample_key string")
+    files.write_split(cat, "sample_key", str(tmp_path / "ok"))
+    assert files.load_split(spark, str(tmp_path / "ok"), cat, 3).count() == 3
+    (tmp_path / "bad.txt").write_text("c\na\nz\na\n")
+    with pytest.raises(ValueError, match="1 repeated keys; 4 keys in place of 3; not in order; 1 unknown keys, the first z"):
+        files.load_split(spark, str(tmp_path / "bad.txt"), cat, 3)
+
+
+def test_images_out_and_prepared(spark, tmp_path):
+    df = spark.createDataFrame([("A/x", 2, 2, [0.0, 1.0, 0.5, 2.0]), ("B/y", 1, 2, [float("nan"), 0.2])], "sample_key string, h int, w int, p array<double>")
+    assert files.write_gray(df, str(tmp_path)) == 2
+    back = files.scan_images(spark, [f"file://{tmp_path}"], ("pgm",), content=True)
+    got = {r.sample_key: (r.h, r.w, r.p) for r in files.read_gray(back).collect()}
+    assert got["A/x"] == (2, 2, pytest.approx([0, 1, 128 / 255, 1])) and got["B/y"] == (1, 2, pytest.approx([0, 0.2]))
+    small = {r.sample_key: r.p for r in files.prepare_images(back, 1, 1, mean=0.5, deviation=0.25).collect()}
+    assert small["A/x"] == pytest.approx([((1 + 1 + 128 / 255) / 4 - 0.5) / 0.25], abs=1e-5) and len(small["B/y"]) == 1
+    with pytest.raises(Exception, match="unsafe"):
+        files.write_gray(df.withColumn("sample_key", F.lit("../x")), str(tmp_path / "in"))
+
+
+def test_replication_is_checked(spark):
+    from thicketry.operators.relations import replicated
+
+    assert replicated(spark.range(3), 3).count() == 3
+    with pytest.raises(ValueError):
+        replicated(spark.range(4), 3)

@@ -167,25 +167,30 @@ def lead_difference(pixels: DataFrame, image: str, y: str, x: str, value: str) -
     return pixels.withColumn("dx", F.coalesce(F.lead(v).over(wx) - v, F.lit(0.0))).withColumn("dy", F.coalesce(F.lead(v).over(wy) - v, F.lit(0.0)))
 
 
-def resize_bilinear(maps: DataFrame, key: str, array: str, h: int, w: int, to_h: int, to_w: int) -> DataFrame:
-    """(key, array): bilinear, half-pixel centres, edges replicated; an Arrow batch of maps at a time."""
+def bilinear(a: np.ndarray, to_h: int, to_w: int) -> np.ndarray:
+    """Maps (n, h, w) in another size: bilinear, half-pixel centres, edges replicated."""
 
     def axis(n, m):
         at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
         lo = np.floor(at).astype(int)
         return lo, np.minimum(lo + 1, n - 1), at - lo
 
+    (y0, y1, fy), (x0, x1, fx) = axis(a.shape[1], to_h), axis(a.shape[2], to_w)
+    rows = a[:, y0] * (1 - fy)[None, :, None] + a[:, y1] * fy[None, :, None]
+    return rows[:, :, x0] * (1 - fx) + rows[:, :, x1] * fx
+
+
+def resize_bilinear(maps: DataFrame, key: str, array: str, h: int, w: int, to_h: int, to_w: int) -> DataFrame:
+    """(key, array) of maps of one size in another; an Arrow batch of maps at a time."""
+
     def run(batches):
         import pandas as pd
 
-        (y0, y1, fy), (x0, x1, fx) = axis(h, to_h), axis(w, to_w)
         for pdf in batches:
             if not len(pdf):
                 continue
             a = np.stack(pdf[array].to_numpy()).astype(float).reshape(-1, h, w)
-            rows = a[:, y0] * (1 - fy)[None, :, None] + a[:, y1] * fy[None, :, None]
-            out = rows[:, :, x0] * (1 - fx) + rows[:, :, x1] * fx
-            yield pd.DataFrame({key: pdf[key].to_numpy(), array: list(out.reshape(len(out), -1))})
+            yield pd.DataFrame({key: pdf[key].to_numpy(), array: list(bilinear(a, to_h, to_w).reshape(len(a), -1))})
 
     return maps.select(key, array).mapInPandas(run, f"{key} {maps.schema[key].dataType.simpleString()}, {array} array<double>")
 

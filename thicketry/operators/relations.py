@@ -88,6 +88,14 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return ranged.join(F.broadcast(before), "_part").withColumn("position", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
 
 
+def replicated(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` for a broadcast join, after a count: more than ``most_rows`` rows are an error, not a broadcast."""
+    n = df.limit(most_rows + 1).count()
+    if n > most_rows:
+        raise ValueError(f"more than {most_rows} rows to replicate")
+    return F.broadcast(df)
+
+
 def difference(a: DataFrame, b: DataFrame, key: str, preview: int = 3) -> DataFrame:
     """One row: how many keys each side has alone, and the first few of them."""
     both = a.select(key, F.lit(1).alias("_a")).unionByName(b.select(key, F.lit(2).alias("_a"))).groupBy(key).agg(F.bit_or("_a").alias("_s"))

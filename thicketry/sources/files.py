@@ -31,11 +31,13 @@ def build_catalog(spark: SparkSession, roots: list[str], endings: tuple[str, ...
 
 
 def mask_dictionary(masks: DataFrame) -> DataFrame:
-    """(mask_key, path): every mask under its full key, and under its bare stem if that stands once; the first path wins."""
+    """(mask_key, path): every mask under its full key, under the folder that holds its file, and under its bare stem if that stands once; the first path wins."""
+    parts = F.filter(F.split(keys.slashes("path"), "/"), lambda p: p != "")
     full = masks.select(F.col("sample_key").alias("mask_key"), "path", F.lit(0).alias("_p"))
+    folder = masks.select(keys.sample_key(F.get(parts, F.size(parts) - 2), "stem").alias("mask_key"), "path", F.lit(1).alias("_p")).where(F.size(parts) > 1)
     once = masks.groupBy("stem").agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("path")).where("_n = 1")
-    both = full.unionByName(once.select(F.col("stem").alias("mask_key"), "path", F.lit(1).alias("_p")))
-    return both.groupBy("mask_key").agg(F.min(F.struct("_p", "path")).alias("m")).select("mask_key", "m.path")
+    every = full.unionByName(folder).unionByName(once.select(F.col("stem").alias("mask_key"), "path", F.lit(2).alias("_p")))
+    return every.groupBy("mask_key").agg(F.min(F.struct("_p", "path")).alias("m")).select("mask_key", "m.path")
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
@@ -43,6 +45,34 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\r$", "")).alias("sample_key")).where("sample_key <> ''")
 
 
+def load_split(spark: SparkSession, path: str, catalog: DataFrame, count: int | None = None) -> DataFrame:
+    """``read_split`` of a list that must be unique, in ascending order over its files, of ``count`` keys, all in the catalog; else an error that names all that is wrong.
+
+    The order is checked line against line within a file, and first against last line between files
+    in the order of their names; nothing is collected but one row a file.
+    """
+    from pyspark.sql import Window
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("i"))
+    lines = lines.select("f", "i", F.trim(F.regexp_replace("value", r"\r$", "")).alias("sample_key")).where("sample_key <> ''")
+    wrong = []
+    n, distinct = lines.agg(F.count(F.lit(1)), F.countDistinct("sample_key")).first()
+    if n != distinct:
+        wrong.append(f"{n - distinct} repeated keys")
+    if count is not None and n != count:
+        wrong.append(f"{n} keys in place of {count}")
+    last = F.lag("sample_key").over(Window.partitionBy("f").orderBy("i"))
+    ends = sorted(lines.groupBy("f").agg(F.min_by("sample_key", "i"), F.max_by("sample_key", "i")).collect())
+    if not lines.withColumn("_l", last).where(F.col("_l") > F.col("sample_key")).isEmpty() or any(a[2] > b[1] for a, b in zip(ends, ends[1:])):
+        wrong.append("not in order")
+    unknown = lines.join(catalog.select("sample_key"), "sample_key", "left_anti").agg(F.count(F.lit(1)), F.min("sample_key")).first()
+    if unknown[0]:
+        wrong.append(f"{unknown[0]} unknown keys, the first {unknown[1]}")
+    if wrong:
+        raise ValueError(f"{path}: " + "; ".join(wrong))
+    return lines.select("sample_key")
+
+
 def read_split_of_either(split: DataFrame, column: str, catalog: DataFrame) -> DataFrame:
     """Keys, or row numbers of the key-ordered catalog written as text, as keys."""
     from thicketry.operators.relations import numbered
@@ -102,10 +132,13 @@ def write_json_once(value, path: str) -> str:
 
 
 def write_split(df: DataFrame, key: str, path: str) -> str:
-    """Normalized, unique, sorted keys as one text file a range; returns their fingerprint. Raises on a repeated key."""
+    """Normalized, unique, sorted keys as one text file a range; returns their fingerprint. Raises on a repeated key, and if what is read again is not what was written."""
     rows = require_unique(df.select(keys.normalize_key(key).alias("sample_key")), "sample_key").orderBy("sample_key")
     rows.write.option("lineSep", "\n").text(path)
-    return fingerprints.ordered_fingerprint(rows, "sample_key")
+    saved = fingerprints.ordered_fingerprint(rows, "sample_key")
+    if fingerprints.ordered_fingerprint(read_split(df.sparkSession, path), "sample_key") != saved:
+        raise OSError(f"{path} holds other keys than were written")
+    return saved
 
 
 def write_audit(df: DataFrame, key: str, numbers: list[str], path: str, digits: int = 10) -> None:
@@ -144,6 +177,55 @@ def read_gray(files: DataFrame, key: str = "sample_key", content: str = "content
     return files.select(key, content).mapInPandas(run, f"{key} {files.schema[key].dataType.simpleString()}, h int, w int, p array<float>")
 
 
+def prepare_images(files: DataFrame, to_h: int, to_w: int, mean: float = 0.0, deviation: float = 1.0, key: str = "sample_key", content: str = "content") -> DataFrame:
+    """(key, p): gray images of any size as bilinear maps of one size, less the mean, over the deviation; an Arrow batch at a time."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        from thicketry.operators.maps import bilinear
+
+        for pdf in batches:
+            rows = []
+            for k, b in zip(pdf[key], pdf[content]):
+                try:
+                    h, w, p = _gray(b)
+                except ValueError as e:
+                    raise ValueError(f"{k}: {e}") from e
+                rows.append((k, ((bilinear(np.reshape(p, (1, h, w)), to_h, to_w)[0].ravel() - mean) / deviation).tolist()))
+            yield pd.DataFrame(rows, columns=[key, "p"])
+
+    return files.select(key, content).mapInPandas(run, f"{key} {files.schema[key].dataType.simpleString()}, p array<double>")
+
+
+def write_gray(maps: DataFrame, root: str, key: str = "sample_key", array: str = "p", h: str = "h", w: str = "w") -> int:
+    """One binary PGM a map, at ``root``/key.pgm on a file system that all tasks see, written beside and renamed; returns their number.
+
+    Values are clamped to 0..1 and stored in one byte; a key that leads out of ``root`` fails.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for k, p, y, x in zip(pdf[key], pdf[array], pdf[h], pdf[w]):
+                if k.startswith("/") or ".." in k.split("/"):
+                    raise ValueError(f"unsafe key {k}")
+                cells = np.round(np.clip(np.nan_to_num(np.asarray(p, float)), 0, 1) * 255).astype(np.uint8)
+                if cells.size != y * x:
+                    raise ValueError(f"{k}: {cells.size} cells in place of {y} x {x}")
+                to = Path(root) / f"{k}.pgm"
+                to.parent.mkdir(parents=True, exist_ok=True)
+                tmp = to.with_name(f".{to.name}.{uuid.uuid4().hex}")
+                tmp.write_bytes(b"P5 %d %d 255\n" % (x, y) + cells.tobytes())
+                os.replace(tmp, to)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return maps.select(key, array, h, w).mapInPandas(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def _gray(b: bytes) -> tuple[int, int, list[float]]:
     """Height, width and cells of a P5 image; two-byte cells have the high byte first."""
     import re
