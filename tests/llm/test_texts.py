@@ -59,6 +59,24 @@ def test_forgetting_keeps_the_words_of_the_batch(spark, ranks):
         assert want == {r.k: r.ids for r in bpe.encode_texts(df, "k", "t", ranks, batch_chars=60, keep=keep).collect()}
 
 
+def test_one_merge_at_a_time_says_the_same_and_is_not_quadratic():
+    """Also where a merge makes a pair of lower rank, which trained vocabularies do not have."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 260, b"bc": 259, b"abc": 256, b"ca": 261, b"aa": 258, b"aaaa": 257}
+    enc = bpe.PairIndexEncoder(ranks)
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        w = "".join(rng.choice(list("abc"), rng.integers(1, 14)))
+        s = [bytes([b]) for b in w.encode()]
+        while True:
+            best = min(((ranks[s[i] + s[i + 1]], i) for i in range(len(s) - 1) if s[i] + s[i + 1] in ranks), default=None)
+            if best is None:
+                break
+            s[best[1] : best[1] + 2] = [s[best[1]] + s[best[1] + 1]]
+        enc.learn([w])
+        assert enc._one_by_one(w) == enc.known[w] == tuple(ranks[x] for x in s), w
+    assert len(enc._one_by_one("abc" * 100_000)) >= 100_000
+
+
 def test_suffix_array_and_search():
     rng = np.random.default_rng(0)
     for size, n in ((2, 1), (3, 40), (5, 300)):

@@ -124,13 +124,25 @@ class PairIndexEncoder:
                 self.known[todo[k]] = self._one_by_one(todo[k])
 
     def _one_by_one(self, word: str) -> tuple[int, ...]:
+        """The lowest rank first, the leftmost of equal ones, from a heap of pairs over a linked list."""
         s = [self.first[b] for b in word.encode("utf-8", "surrogatepass")]
-        while len(s) > 1:
-            r, p = min(((t, i) for i in range(len(s) - 1) if (t := self._rank(s[i], s[i + 1])) >= 0), default=(-1, -1))
-            if r < 0:
-                break
-            s[p : p + 2] = [r]
-        return tuple(s)
+        n = len(s)
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, s[i], s[i + 1]) for i in range(n - 1) if (r := self._rank(s[i], s[i + 1])) >= 0]
+        heapify(heap)
+        while heap:
+            r, i, a, b = heappop(heap)
+            j = nxt[i]
+            if s[i] != a or j >= n or s[j] != b:
+                continue  # one of the two has merged since
+            s[i], s[j] = r, -1
+            nxt[i] = nxt[j]
+            if nxt[i] < n:
+                prv[nxt[i]] = i
+            for x, y in ((prv[i], i), (i, nxt[i])):
+                if x >= 0 and y < n and (t := self._rank(s[x], s[y])) >= 0:
+                    heappush(heap, (t, x, s[x], s[y]))
+        return tuple(x for x in s if x >= 0)
 
 
 def encode_texts(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str = PATTERN, batch_chars: int = 4_000_000, keep: int = 300_000) -> DataFrame:
