@@ -255,6 +255,9 @@ def test_quantiles_are_exact(spark):
     got = {r.g: r for r in metrics.distribution(frame(spark, x, "g string, v double").repartition(5), "v", ["g"], (0.0, 0.3, 0.9, 1.0)).collect()}
     a = np.array([v for g, v in x if g == "a"])
     assert [got["a"][q] for q in ("q0000", "q0300", "q0900", "q1000")] == pytest.approx(np.quantile(a, [0, 0.3, 0.9, 1]).tolist()) and got["b"].q0300 == 1.0 and set(got) == {"a", "b"}
+    nulls = metrics.distribution(frame(spark, [(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double"), "v", ["g"], (0.5,)).collect()
+    assert {(r.g, r.n, r.q0500) for r in nulls} == {(None, 2, 2.0), ("a", 1, 5.0)}
+    assert metrics.distribution(frame(spark, [], "g string, v double"), "v", ["g"]).count() == 0
     one = metrics.distribution(frame(spark, x, "g string, v double"), "v", None, (0.5,)).first()
     assert one.n == 1000 and one.q0500 == pytest.approx(np.quantile([*a, 1.0], 0.5))
 
@@ -275,3 +278,9 @@ def test_contrastive_loss_and_its_positive(spark):
 
 def test_center_order():
     assert clusters.center_order([[2.0, 0.0], [1.0, 5.0], [2.0, 0.0], [0.0, 0.0]])[:1] == [3] and sorted(clusters.center_order([[1.0], [1.0]])) == [0, 1]
+
+
+def test_ranks_and_lags_of_null_groups(spark):
+    df = frame(spark, [(None, 2, 10), (None, 1, 11), ("a", 5, 12), ("a", 4, 13)], "g string, t int, v int").repartition(3)
+    assert {(r.g, r.t, r["rank"]) for r in S.ranked(df, ["g"], ["t"]).collect()} == {(None, 1, 1), (None, 2, 2), ("a", 4, 1), ("a", 5, 2)}
+    assert {(r.g, r.t, r.w) for r in R.lagged(df, ["g"], ["t"], "v", "w").collect()} == {(None, 1, None), (None, 2, 11), ("a", 4, None), ("a", 5, 13)}

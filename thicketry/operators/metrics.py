@@ -16,9 +16,9 @@ def distribution(df: DataFrame, value: str, group: list[str] | None = None, poin
 
     Quantiles are exact: values are numbered over ranges, so a group however large is never in one
     task or buffer, and only the two values beside each quantile are picked by their place. Null
-    values are left out; a group with none gives no row.
+    values are left out; a group with none gives no row; a null is a group.
     """
-    from thicketry.operators.relations import numbered
+    from thicketry.operators.relations import join_groups, numbered
 
     group = group or []
     rows = df.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
@@ -29,12 +29,12 @@ def distribution(df: DataFrame, value: str, group: list[str] | None = None, poin
     )
     at = [F.lit(p) * (F.col("n") - 1) for p in points]
     edges = sums.select(*group, "n", "_first", *(F.floor(x).alias(f"_l{i}") for i, x in enumerate(at)), *(F.ceil(x).alias(f"_h{i}") for i, x in enumerate(at)))
-    near = placed.join(edges, group) if group else placed.crossJoin(F.broadcast(edges))  # one row where there is one group
+    near = join_groups(placed, edges, group)
     near = near.withColumn("_r", F.col("position") - F.col("_first"))
     near = near.where(F.col("_r").isin(*(F.col(f"_{e}{i}") for e in "lh" for i in range(len(points)))))
     pick = [F.max(F.when(F.col("_r") == F.col(f"_{e}{i}"), v)).alias(f"_{e}{i}") for e in "lh" for i in range(len(points))]
     near = near.groupBy(*group).agg(*pick)
-    out = sums.join(near, group) if group else sums.crossJoin(F.broadcast(near))
+    out = join_groups(sums, near, group)
     lean = lambda i, x: F.col(f"_l{i}") + (x - F.floor(x)) * (F.col(f"_h{i}") - F.col(f"_l{i}"))
     return out.select(*group, "n", "mean", "std", "min", "max", "zero_share", *(lean(i, x).alias(f"q{int(round(p * 1000)):04d}") for i, (p, x) in enumerate(zip(points, at))))
 

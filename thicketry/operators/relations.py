@@ -88,6 +88,25 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return ranged.join(F.broadcast(before), "_part").withColumn("position", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
 
 
+def join_groups(df: DataFrame, of_groups: DataFrame, group: list[str]) -> DataFrame:
+    """Inner join of rows with one row a group, in which a null is a group too; without group columns, the one row there is."""
+    if not group:
+        return df.crossJoin(F.broadcast(of_groups))
+    right = of_groups.withColumnsRenamed({g: f"_of_{g}" for g in group})
+    on = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]
+    return df.join(right, on).drop(*(f"_of_{g}" for g in group))
+
+
+def lagged(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Adds the value of the row before in the group, null for the first, by a join on numbers over ranges: no group is sorted in one task."""
+    rows = numbered(df, *group, *order)
+    before = rows.select((F.col("position") + 1).alias("position"), *(F.col(g).alias(f"_{g}") for g in group), F.col(value).alias("_v"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return rows.join(before, "position", "left").withColumn(out, F.when(same, F.col("_v"))).select(*df.columns, out)
+
+
 def replicated(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` for a broadcast join, after a count: more than ``most_rows`` rows are an error, not a broadcast."""
     n = df.limit(most_rows + 1).count()

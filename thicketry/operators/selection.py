@@ -35,14 +35,12 @@ def round_robin(df: DataFrame, key: str, cluster: str, dist: str, seed: str) ->
     go by distance, then key. Turns and steps are numbers over ranges: neither a cluster nor the
     whole is ranked in one task.
     """
-    from thicketry.operators.relations import numbered
+    from thicketry.operators.relations import join_groups, numbered
 
     named = df.groupBy(cluster).agg(F.min_by(key, F.struct(dist, key)).alias("_who"))
-    rest = numbered(df.where(~F.col(seed)), cluster, dist, key)
-    first = rest.groupBy(cluster).agg(F.min("position").alias("_first"))
-    rest = rest.join(named, cluster).join(first, cluster).withColumn("_turn", F.col("position") - F.col("_first")).drop("position", "_first")
-    out = numbered(rest, "_turn", "_who").withColumn("step", (F.col("position") + 1).cast("int"))
-    return out.drop("_who", "_turn", seed, "position")
+    rest = ranked(join_groups(df.where(~F.col(seed)), named, [cluster]), [cluster], [dist, key])
+    out = numbered(rest, "rank", "_who").withColumn("step", (F.col("position") + 1).cast("int"))
+    return out.drop("_who", "rank", seed, "position")
 
 
 def nested_budgets(order: DataFrame, seeds: DataFrame, key: str, budgets: list[int], n_seeds: int) -> DataFrame:
@@ -109,11 +107,11 @@ def threshold_top(df: DataFrame, group: str, score: str, tie: str, threshold: fl
 
 def ranked(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Adds ``rank`` from 1 within each group, from numbers over ranges: a group however large is not ranked in one task."""
-    from thicketry.operators.relations import numbered
+    from thicketry.operators.relations import join_groups, numbered
 
     n = numbered(df, *group, *order)
     first = n.groupBy(*group).agg(F.min("position").alias("_first"))
-    return n.join(first, group).withColumn("rank", F.col("position") - F.col("_first") + 1).drop("position", "_first")
+    return join_groups(n, first, group).withColumn("rank", F.col("position") - F.col("_first") + 1).drop("position", "_first")
 
 
 def equal_shards(df: DataFrame, key: str, shards: int) -> DataFrame:

@@ -151,10 +151,10 @@ def stage_ramp(s, d):
 
 @query("latency_statistics", "WITH l AS (SELECT event_type, epoch_us(ts)-lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS us FROM events) SELECT event_type, count(us) AS n, round(avg(us/1e6),5) AS mean, round(quantile_cont(us/1e6,0.5),5) AS p50, round(quantile_cont(us/1e6,0.95),5) AS p95, round(count(us)/sum(us/1e6),6) AS per_second FROM l GROUP BY 1")
 def latency_statistics(s, d):
-    from pyspark.sql import Window
+    """Seconds between the events of a type: neither the order nor the quantiles take a type as a whole."""
+    from thicketry.operators import relations as R
 
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    lag = us - F.lag(us).over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    x = table(s, d, "events").select("event_type", (lag / 1e6).alias("v"))
-    q = F.percentile("v", F.array(F.lit(0.5), F.lit(0.95)))
-    return x.groupBy("event_type").agg(F.count("v").alias("n"), F.round(F.avg("v"), 5).alias("mean"), F.round(q[0], 5).alias("p50"), F.round(q[1], 5).alias("p95"), F.round(F.count("v") / F.sum("v"), 6).alias("per_second"))
+    e = table(s, d, "events").select("event_type", "ts", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    x = R.lagged(e, ["event_type"], ["ts", "event_id"], "us", "before").select("event_type", ((F.col("us") - F.col("before")) / 1e6).alias("v"))
+    q = M.distribution(x, "v", ["event_type"], (0.5, 0.95))
+    return q.select("event_type", "n", F.round("mean", 5).alias("mean"), F.round("q0500", 5).alias("p50"), F.round("q0950", 5).alias("p95"), F.round(1 / F.col("mean"), 6).alias("per_second"))
