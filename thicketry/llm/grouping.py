@@ -185,9 +185,14 @@ def _dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def _by_root(rows: DataFrame, one: DataFrame, most_bytes: int = 48 << 20, row_bytes: int = 400, salts: int = 16) -> DataFrame:
-    """Left join of rows, of which a third may share one root, with one row a root: broadcast up to ``most_bytes``, else salted."""
-    if one.count() * row_bytes <= most_bytes:
+def _by_root(rows: DataFrame, one: DataFrame, most_bytes: int = 48 << 20, salts: int = 16) -> DataFrame:
+    """Left join of rows, of which a third may share one root, with one row a root: broadcast up to ``most_bytes``, else salted.
+
+    The bytes are counted: of texts and arrays by their lengths, of all else as eight a value.
+    """
+    size = {"string": F.octet_length, "array<float>": lambda c: 4 * F.size(c), "array<double>": lambda c: 8 * F.size(c)}
+    row = sum((F.coalesce(size[t](F.col(c)), F.lit(0)) if t in size else F.lit(8) for c, t in one.dtypes), F.lit(32))
+    if (one.agg(F.sum(row)).first()[0] or 0) <= most_bytes:
         return rows.join(F.broadcast(one), "root", "left")
     one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
@@ -305,7 +310,7 @@ def cluster_members(clusters: DataFrame, least_size: int = 3) -> DataFrame:
     """(key, cluster_key): members of clusters of at least ``least_size``, named by their smallest key."""
     names = clusters.groupBy("root").agg(F.min("key").alias("cluster_key"), F.count(F.lit(1)).alias("size"))
     names = store(names.where(F.col("size") >= least_size).select("root", "cluster_key"))
-    return _by_root(clusters.select("key", "root"), names, row_bytes=200).where(F.col("cluster_key").isNotNull()).select("key", "cluster_key")
+    return _by_root(clusters.select("key", "root"), names).where(F.col("cluster_key").isNotNull()).select("key", "cluster_key")
 
 
 def describe_clusters(clusters: DataFrame, size: int, typical: int = 3, least_size: int = 2) -> DataFrame:
@@ -348,11 +353,11 @@ def describe_clusters(clusters: DataFrame, size: int, typical: int = 3, least_si
 
     wide = Window.partitionBy("root").orderBy(F.desc("sim"), "key")
     sized = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("cluster_key")).where(F.col("size") >= least_size)
-    big = _by_root(clusters, store(sized), row_bytes=200).where(F.col("size").isNotNull())
+    big = _by_root(clusters, store(sized)).where(F.col("size").isNotNull())
     part = T.StructType([T.StructField("root", key_type), T.StructField("sum", T.ArrayType(T.DoubleType()))])
     mean = T.StructType([T.StructField("root", key_type), T.StructField("mean", T.ArrayType(T.DoubleType()))])
     means = store(big.select("root", "vec").mapInArrow(sums, part).groupBy("root").applyInArrow(add, mean))
-    near = store(_by_root(big, means, row_bytes=900).select("root", "cluster_key", "size", "key", F.round(_dot("vec", "mean"), 6).alias("sim")))
+    near = store(_by_root(big, means).select("root", "cluster_key", "size", "key", F.round(_dot("vec", "mean"), 6).alias("sim")))
     top = near.select("root", "key", "sim").withColumn("r", F.row_number().over(wide)).where(F.col("r") <= typical)
     top = top.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "key"))), lambda s: s["key"]).alias("typical"))
     figures = near.groupBy("root", "cluster_key", "size").agg(F.round(F.avg("sim"), 6).alias("mean_similarity"))

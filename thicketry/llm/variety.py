@@ -253,11 +253,11 @@ def varied_subset(df: DataFrame, key: str, stratum: str, vector: str, size: int,
         blocks, full = [[]], 0
         for r in sorted(summary.collect(), key=lambda r: r["cell"]):
             spread[r["cell"]] = r["final"]
-            if full and full + r["n"] * size * 4 > block_bytes:
+            if full and full + r["n"] * size * 8 > block_bytes:
                 blocks.append([])
                 full = 0
             blocks[-1].append(r["cell"])
-            full += r["n"] * size * 4
+            full += r["n"] * size * 8
         moved = []
         for block in blocks:
             found = _assigned(held, entries, block[0], block[-1], size, key_type)
