@@ -198,6 +198,13 @@ def test_whole_batches_give_the_figures_of_single_texts():
             assert all_[k][i] == pytest.approx(v), (k, t[:40])
 
 
+def test_odd_texts_have_figures():
+    texts = [">", " > >\n>", "\u200b", "\x00", "a", "\ud83d\udc22".encode("utf-16", "surrogatepass").decode("utf-16"), "<table>", "|\n|", "𠀀𠀁。", "x" * 300_000, PROSE]
+    m = quality.measure(texts)
+    assert all(len(v) == len(texts) and np.isfinite(v.astype(float)).all() for v in m.values())
+    assert m["line_count"].min() == 1 and m["prose_share"].tolist()[:-1] == [0.0] * 10 and m["prose_share"][-1] > 0.9
+
+
 def test_signals():
     run = np.zeros(4, np.int64)
     even, _ = quality._alignment(quality._Strings(["ab | c", "xy | d", "zz | eeee", "no bar"]), run)

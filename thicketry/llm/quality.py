@@ -84,7 +84,8 @@ class _Strings:
 
     def of(self, kind: int) -> np.ndarray:
         """How many characters of a class each string has."""
-        total = np.concatenate([[0], np.cumsum((self.bits & kind) != 0)])
+        narrow = np.int32 if len(self.bits) < 1 << 31 else np.int64
+        total = np.concatenate([np.zeros(1, narrow), np.cumsum((self.bits & kind) != 0, dtype=narrow)])
         return total[self.end] - total[self.end - self.length]
 
     def count(self, pattern: str) -> np.ndarray:
@@ -214,6 +215,10 @@ def measure(texts: list[str], weights: tuple[float, ...] = WEIGHTS) -> dict[str,
             doc.append(d)
             gap.append(last)
             last = False
+        if not doc or doc[-1] != d:  # nothing but marks of quotation
+            lines.append(" ".join(text.split()))
+            doc.append(d)
+            gap.append(True)
     docs, doc, gap = len(texts), np.array(doc, np.int64), np.array(gap, bool)
     gap[np.concatenate([[True], doc[1:] != doc[:-1]])] = True
     run = np.cumsum(gap) - 1
