@@ -148,7 +148,7 @@ def test_overlaps(spark, crowd):
     assert overlap.cross_split_overlaps(df.where("not evaluation"), FORM).count() == 0 and overlap.cross_split_overlaps(df.limit(0), FORM).count() == 0
     # the code decides which pairs are compared: within radius zero only names with equal letter pairs meet
     assert overlap.overlap_links(df, FORM, crowd, radius=0)[1].count() < overlap.overlap_links(df, FORM, crowd)[1].count()
-    sides = df.select("item", F.when(F.col("item") % 2 == 0, "even").otherwise("odd").alias("kind")).where("item is not null").distinct()
+    sides = df.select("item", F.when(F.col("item") % 2 == 0, "even").otherwise("odd").alias("kind")).where("item is not null").distinct().withColumn("record", F.lit(1))
     counts = overlap.overlap_counts(df, FORM, sides, ["kind"], crowd)
     by = Counter((("even", "odd")[a % 2], ("even", "odd")[b % 2]) for a, b in want)
     assert {(r.train_kind, r.eval_kind): r.pairs for r in counts.collect()} == by

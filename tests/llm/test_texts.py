@@ -198,6 +198,14 @@ def test_whole_batches_give_the_figures_of_single_texts():
             assert all_[k][i] == pytest.approx(v), (k, t[:40])
 
 
+def test_keys_named_like_results(spark, ranks):
+    df = spark.createDataFrame([(1, PROSE), (2, "- a\n- b\n- c")], "n long, t string")
+    named = df.withColumnRenamed("n", "word_count")
+    assert {r.word_count_key: r.word_count for r in quality.text_quality(named, "word_count", "t").collect()} == {1: 25, 2: 3}
+    assert [r.prose_share for r in quality.not_prose(df.withColumnRenamed("n", "prose_share"), "prose_share", "t").collect()] == [2]
+    assert {r.ids_key for r in bpe.encode_texts(df.withColumnRenamed("n", "ids"), "ids", "t", ranks).collect()} == {1, 2}
+
+
 def test_odd_texts_have_figures():
     texts = [">", " > >\n>", "\u200b", "\x00", "a", "\ud83d\udc22".encode("utf-16", "surrogatepass").decode("utf-16"), "<table>", "|\n|", "𠀀𠀁。", "x" * 300_000, PROSE]
     m = quality.measure(texts)

@@ -149,7 +149,7 @@ def encode_texts(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pa
     """(key, ids): the token ids of each whole text, without special tokens.
 
     Null and empty texts give an empty list; marker strings in a text are ordinary text; a repeated
-    row gives a row each; other columns are not read. The work is one pass without a shuffle; the
+    row gives a row each; other columns are not read; a key named ``ids`` comes out as ``ids_key``. The work is one pass without a shuffle; the
     vocabulary (a file of fixed size) is broadcast. ``batch_chars`` bounds the texts that are held
     at once in a task, except that one text always fits; ``keep`` bounds the words a task remembers
     from batch to batch.
@@ -158,6 +158,7 @@ def encode_texts(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pa
 
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     key_type = df.schema[key].dataType
+    name = "ids_key" if key == "ids" else key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -175,7 +176,7 @@ def encode_texts(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pa
                 flat.extend(chain.from_iterable([known[x] for x in t]))
                 ends.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(np.asarray(ends, np.int32)), pa.array(np.asarray(flat, np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(keys, kind), ids], names=[key, "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), ids], names=[name, "ids"])
 
         for b in batches:
             keys, toks, chars = [], [], 0
@@ -192,7 +193,7 @@ def encode_texts(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pa
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField(key, key_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField(name, key_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return df.select(key, text).mapInArrow(run, schema)
 
 

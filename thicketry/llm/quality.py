@@ -312,13 +312,15 @@ def text_quality(df: DataFrame, key: str, text: str, batch_chars: int = 2_000_00
 
     Null and blank texts have null figures; repeated rows have a row each; a very long text is one
     pass over its lines. Shares are of the non-blank characters, ``end_punct_share`` of the lines
-    that are not blank. Some ``batch_chars`` characters are measured at once, at least one text. No
+    that are not blank. A key named like a figure gets ``_key`` behind it. Some ``batch_chars`` characters are measured at once, at least one text. No
     shuffle; other columns are not read.
     """
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *T.StructType.fromDDL(FIGURES)])
-    names = [f.name for f in schema][1:]
+    figures = T.StructType.fromDDL(FIGURES)
+    name = f"{key}_key" if key in figures.names else key
+    schema = T.StructType([T.StructField(name, df.schema[key].dataType), *figures])
+    names = figures.names
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -338,7 +340,7 @@ def text_quality(df: DataFrame, key: str, text: str, batch_chars: int = 2_000_00
                 place[full] = np.arange(len(full))
                 got = measure([part[i] for i in full]) if full else {n: np.zeros(0) for n in names}
                 take = pa.array(place, mask=place < 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), *(pa.array(got[n]).cast(k).take(take) for n, k in zip(names, kinds))], names=[key, *names])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), *(pa.array(got[n]).cast(k).take(take) for n, k in zip(names, kinds))], names=schema.names)
                 at = end
 
     return df.select(key, text).mapInArrow(run, schema)
@@ -348,4 +350,4 @@ def not_prose(df: DataFrame, key: str, text: str, most: float = 0.5) -> DataFram
     """The keys of texts of which more than ``most`` does not stand in sentences of running prose."""
     from pyspark.sql import functions as F
 
-    return text_quality(df, key, text).where(F.col("prose_share") < 1 - most).select(key)
+    return text_quality(df.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_k", "_t").where(F.col("prose_share") < 1 - most).select(F.col("_k").alias(key))
