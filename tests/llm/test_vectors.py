@@ -166,6 +166,17 @@ def test_hot_roots_are_joined_with_salt(spark):
         assert len(got) == 100 and sum(v == 1 for v in got.values()) == 80 and got["k90"] == 2 and got["k91"] is None
 
 
+def test_only_hot_roots_are_salted_and_large_sides_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(f"k{i}", "a" if i < 80 else f"k{i}") for i in range(100)], "key string, root string")
+    one = spark.createDataFrame([("a", 1), ("k90", 2)], "root string, v int")
+    got = grouping._by_root(rows, one, most_bytes=0, hot=50)
+    assert sorted((r.key, r.v) for r in got.collect() if r.v) == sorted([(f"k{i}", 1) for i in range(80)] + [("k90", 2)]) and got.count() == 100
+    # 20 MB of vectors: a driver of 750 MB holds no such table several times over
+    wide = spark.range(70_000).select(F.col("id").cast("string").alias("root"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: x.cast("float")).alias("pivot"))
+    plan = grouping._by_root(rows, wide)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+
+
 def test_pivots_are_apart_however_few_the_rounds(spark):
     """With no or few rounds over anchors, and chains, no two pivots are similar and no member is unlike its pivot."""
     a = np.linspace(0, 3.0, 60)

@@ -185,18 +185,22 @@ def _dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def _by_root(rows: DataFrame, one: DataFrame, most_bytes: int = 48 << 20, salts: int = 16) -> DataFrame:
-    """Left join of rows, of which a third may share one root, with one row a root: broadcast up to ``most_bytes``, else salted.
+def _by_root(rows: DataFrame, one: DataFrame, most_bytes: int = 16 << 20, salts: int = 16, hot: int = 10_000) -> DataFrame:
+    """Left join of rows, of which a third may share one root, with one row a root: broadcast up to ``most_bytes``, else shuffled.
 
-    The bytes are counted: of texts and arrays by their lengths, of all else as eight a value.
+    The bytes are counted: of texts and arrays by their lengths, of all else as eight a value. A
+    broadcast stands in the driver several times over while it is made. Only what is joined to
+    roots of more than ``hot`` rows is salted, all other rows of ``one`` are sent once.
     """
     size = {"string": F.octet_length, "array<float>": lambda c: 4 * F.size(c), "array<double>": lambda c: 8 * F.size(c)}
     row = sum((F.coalesce(size[t](F.col(c)), F.lit(0)) if t in size else F.lit(8) for c, t in one.dtypes), F.lit(32))
     if (one.agg(F.sum(row)).first()[0] or 0) <= most_bytes:
         return rows.join(F.broadcast(one), "root", "left")
-    one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
-    return rows.join(one, ["root", "_salt"], "left").drop("_salt")
+    many = store(rows.groupBy("root").count().where(F.col("count") > hot).select("root", F.lit(True).alias("_hot")))
+    many = F.broadcast(many)
+    one = one.join(many, "root", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0))))).drop("_hot")
+    rows = rows.join(many, "root", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
+    return rows.join(one.hint("merge"), ["root", "_salt"], "left").drop("_salt")
 
 
 def _closest(rows: DataFrame, pivots: DataFrame, least: float, size: int, cell_rows: int) -> DataFrame:
