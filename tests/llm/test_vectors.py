@@ -81,6 +81,15 @@ def test_the_sample_of_the_top_tree_is_bounded_by_its_threshold(spark):
     assert {(r.key, r.other) for r in some} == brute(rows, 2)
 
 
+def test_a_search_in_passes_finds_the_same(spark, monkeypatch):
+    """Where vectors go to many shards, the queries run in passes whose shuffle files are given back."""
+    turns = []
+    monkeypatch.setattr(neighbours, "give_back", turns.append)
+    df = frame(spark, groups([4] * 40 + [30]))
+    want, got = ({(r.key, r.other, r["rank"]) for r in neighbours.nearest_vectors(df, "k", "v", D, k=3, min_similarity=0.5, relax=1, shard_rows=20, most_copies=m).collect()} for m in (1e9, 1.0))
+    assert got == want and len(turns) > 1
+
+
 def test_copies_ties_and_repeats(spark):
     same = [(f"c{i:03d}", [1.0] + [0.0] * (D - 1)) for i in range(40)]
     rows = same + [("near", [1.0, 0.1] + [0.0] * (D - 2))]
